@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +56,20 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per session."""
+    context = spark.sparkContext
+    here = Path(__file__).resolve().parent
+    if context.master.startswith("local") and str(here.parent) in os.environ.get("PYTHONPATH", "").split(":"):
+        return
+    if getattr(context, "_lodeworks", False):
+        return
+    folder = tempfile.mkdtemp(prefix="lodeworks-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.addPyFile(shutil.make_archive(f"{folder}/lodeworks", "zip", here.parent, here.name))
+    context._lodeworks = True
+
+
 class Stage:
     """Intermediate tables, written once to the shared folder and read many times.
 
@@ -77,4 +94,5 @@ class Stage:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A test table, read as Parquet so that filters and columns reach the scan."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
