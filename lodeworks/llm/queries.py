@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from lodeworks.llm import forms
+from lodeworks.llm import encoding, forms, leakage, nearcopies
 from lodeworks.runtime import table
 
 QUERIES: dict = {
     "p2_found": lambda spark, d: forms.lookalike_pairs(table(spark, d, "run_pipeline")),
+    "p3_found": lambda spark, d: nearcopies.near_copy_pairs(table(spark, d, "run_pipeline")),
+    "p3_groups": lambda spark, d: nearcopies.near_copy_groups(table(spark, d, "run_pipeline")),
+    "p5_found": lambda spark, d: leakage.leaked(table(spark, d, "run_pipeline"), table(spark, d, "benchmark")),
+    "p6_ids": lambda spark, d: encoding.encoded(table(spark, d, "documents")),
     "p2_forms": lambda spark, d: forms.unified(table(spark, d, "run_pipeline")),
 }
 ORACLES: dict = {}
