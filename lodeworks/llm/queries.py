@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
-from lodeworks.llm import encoding, forms, leakage, nearcopies
+from lodeworks.llm import encoding, forms, leakage, mixing, nearcopies, packing, residue
 from lodeworks.runtime import table
 
+
+def _run(operator, *tables: str):
+    return lambda spark, d: operator(*(table(spark, d, t) for t in tables))
+
+
+_PLAN = ("manifest", "feasibility", "mixture")
+
 QUERIES: dict = {
-    "p2_found": lambda spark, d: forms.lookalike_pairs(table(spark, d, "run_pipeline")),
-    "p3_found": lambda spark, d: nearcopies.near_copy_pairs(table(spark, d, "run_pipeline")),
-    "p3_groups": lambda spark, d: nearcopies.near_copy_groups(table(spark, d, "run_pipeline")),
-    "p5_found": lambda spark, d: leakage.leaked(table(spark, d, "run_pipeline"), table(spark, d, "benchmark")),
-    "p6_ids": lambda spark, d: encoding.encoded(table(spark, d, "documents")),
-    "p2_forms": lambda spark, d: forms.unified(table(spark, d, "run_pipeline")),
+    "p1_drawn": _run(mixing.drawn, *_PLAN),
+    "p1_report": _run(mixing.report, *_PLAN),
+    "p2_found": _run(forms.lookalike_pairs, "run_pipeline"),
+    "p2_forms": _run(forms.unified, "run_pipeline"),
+    "p3_found": _run(nearcopies.near_copy_pairs, "run_pipeline"),
+    "p3_groups": _run(nearcopies.near_copy_groups, "run_pipeline"),
+    "p5_found": _run(leakage.leaked, "run_pipeline", "benchmark"),
+    "p6_ids": _run(encoding.encoded, "documents"),
+    "p7_packed": _run(packing.packed, "documents", "packing_policy"),
+    "p7_containers": _run(lambda d, p: packing.containers(packing.packed(d, p)), "documents", "packing_policy"),
+    "p7_utilization": _run(lambda d, p: packing.utilization(packing.packed(d, p)), "documents", "packing_policy"),
+    "p8_found": _run(residue.residue_ids, "documents"),
+    "p8_kept": _run(residue.without_residue, "documents"),
 }
-ORACLES: dict = {}
+
+ORACLES: dict = {"p1_drawn": mixing.DRAWN_SQL, "p1_report": mixing.REPORT_SQL}
