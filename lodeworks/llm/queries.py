@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodeworks.llm import encoding, forms, leakage, mixing, nearcopies, packing, residue
+from lodeworks.llm import encoding, forms, leakage, mixing, nearcopies, packing, personal, residue
 from lodeworks.runtime import table
 
 
@@ -19,6 +19,9 @@ QUERIES: dict = {
     "p2_forms": _run(forms.unified, "run_pipeline"),
     "p3_found": _run(nearcopies.near_copy_pairs, "run_pipeline"),
     "p3_groups": _run(nearcopies.near_copy_groups, "run_pipeline"),
+    "p4_found": _run(personal.kinds_found, "run_pipeline", "name_parts"),
+    "p4_masked": _run(personal.masked, "run_pipeline", "name_parts"),
+    "p4_entities": _run(personal.entities, "run_pipeline", "name_parts"),
     "p5_found": _run(leakage.leaked, "run_pipeline", "benchmark"),
     "p6_ids": _run(encoding.encoded, "documents"),
     "p7_packed": _run(packing.packed, "documents", "packing_policy"),
