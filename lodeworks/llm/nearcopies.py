@@ -50,7 +50,7 @@ _SEED = 0x9E3779B97F4A7C15
 def _mixers(n: int) -> tuple[np.ndarray, np.ndarray]:
     gen = np.random.default_rng(20240229)
     a = gen.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-    return a, gen.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)
+    return a, gen.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
 
 def words(text: str) -> list[str]:
@@ -92,12 +92,10 @@ def signature(runs: np.ndarray, n: int = HASHES) -> np.ndarray:
     a, b = _mixers(n)
     low, high = (runs & np.uint64(0xFFFFFFFF)).astype(np.uint32), (runs >> np.uint64(32)).astype(np.uint32)
     best = np.full(n, 0xFFFFFFFF, np.uint32)
-    with np.errstate(over="ignore"):
-        for at in range(0, len(runs), 2048):
-            x = low[at : at + 2048, None] * a + high[at : at + 2048, None]
-            x ^= x >> np.uint32(15)
-            x *= b | np.uint32(1)
-            np.minimum(best, x.min(axis=0), out=best)
+    for at in range(0, len(runs), 256):  # a block stays in the processor's cache
+        x = np.multiply.outer(low[at : at + 256], a)
+        x += np.multiply.outer(high[at : at + 256], b)
+        np.minimum(best, x.min(axis=0), out=best)
     return best
 
 
@@ -144,7 +142,7 @@ def _marks(known, k: int, rows: int):
                     continue
                 runs = hasher.runs(forms.form(t, readings, forms.plain(f)), k)
                 ids.append(i)
-                classes.append(hashlib.blake2b(runs.tobytes(), digest_size=16).digest())
+                classes.append(_class(runs))
                 bands = signature(runs).reshape(-1, rows).astype(np.uint64)
                 key = np.arange(len(bands), dtype=np.uint64)
                 with np.errstate(over="ignore"):
@@ -163,22 +161,23 @@ def _marks(known, k: int, rows: int):
 
 
 def _payload(known, k: int):
-    """id, text, fixes -> id, signature, runs."""
+    """id, text, fixes -> class, signature, runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, readings = Hasher(), known.value
         for batch in batches:
-            ids, sigs, sets = [], [], []
-            for i, t, f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                runs = hasher.runs(forms.form(t, readings, forms.plain(f)), k)
-                ids.append(i)
-                sigs.append(signature(runs).tobytes())
-                sets.append(runs.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], names=["id", "sig", "runs"])
+            sets = [hasher.runs(forms.form(t, readings, forms.plain(f)), k) for t, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            rows = [[_class(r) for r in sets], [signature(r).tobytes() for r in sets], [r.tobytes() for r in sets]]
+            yield pa.RecordBatch.from_arrays([pa.array(r, pa.binary()) for r in rows], names=["class", "sig", "runs"])
 
     return run
 
 
+def _class(runs: np.ndarray) -> bytes:
+    """The name of all records with this set of runs."""
+    return hashlib.blake2b(runs.tobytes(), digest_size=16).digest()
+
+
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,7 +196,7 @@ def _prefixes(df: DataFrame, threshold: float) -> DataFrame:
     Sets that reach the threshold share a run within the first n - ceil(t n) + 1 of each
     set, runs being ordered by how many sets hold them (ties by hash).
     """
-    runs = df.select("id", F.explode("runs").alias("run"))
+    runs = df.select(F.col("class").alias("id"), F.explode("runs").alias("run"))
     often = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     ordered = (
         runs.join(often, "run", "left")
@@ -219,22 +218,26 @@ def _as_runs(payload: DataFrame) -> DataFrame:
         for batch in batches:
             sets = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))], names=["id", "runs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))], names=["class", "runs"])
 
-    return payload.select("id", "runs").mapInArrow(run, "id string, runs array<long>")
+    return payload.select("class", "runs").mapInArrow(run, "class binary, runs array<long>")
 
 
 class NearCopies:
     """What one pass over a corpus found.
 
-    ``members``: id and class, the class named by its least id; ``links``: pairs a < b of
-    classes that reach the threshold.
+    ``members``: id and class; ``links``: pairs a < b of classes that reach the threshold.
     """
 
     def __init__(self, members: DataFrame, links: DataFrame, stage: Stage):
         self.members, self.links, self.stage = members, links, stage
 
 
+def _beside(df: DataFrame, few: DataFrame, key: str, most: int) -> DataFrame:
+    """Rows of ``df`` whose key is in the written table ``few``, which goes to every worker if it is small."""
+    return df.join(F.broadcast(few) if few.count() <= most else few, key, "left_semi")
+
+
 def near_copies(df: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, k: int = RUN, rows: int = ROWS, crowd: int = CROWD, max_ids: int = MAX_BROADCAST_IDS, **kw) -> NearCopies:
     """Classes of records with equal sets of runs, and all links between classes."""
     spark = df.sparkSession
@@ -243,32 +246,30 @@ def near_copies(df: DataFrame, id: str = "doc_id", text: str = "text", threshold
     source = source.withColumn("id", F.col("id").cast("string"))
     marks = stage.keep(source.mapInArrow(_marks(known, k, rows), "id string, class binary, bands array<long>"), "marks")
 
-    classes = marks.groupBy("class").agg(F.min("id").alias("rep"))
-    members = marks.select("id", "class").join(classes, "class").select("id", F.col("rep").alias("class")).distinct()
-    # Copies have the same bands, so any of them brings the bands of its class.
-    bands = marks.join(classes, (marks["id"] == classes["rep"]) & (marks["class"] == classes["class"]), "left_semi").select("id", F.explode(F.array_distinct("bands")).alias("band"))
-    buckets = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where("low != high")
-    crowded = bands.join(buckets.where(F.col("n") > crowd).select("band"), "band", "left_semi").select("id").distinct()
-    crowded = stage.keep(crowded, "crowded")
-    shared = bands.join(buckets.where(F.col("n") <= crowd).select("band"), "band", "left_semi")
-    pairs = (
-        shared.withColumnRenamed("id", "a").join(shared.withColumnRenamed("id", "b"), "band")
-        .where("a < b").select("a", "b").distinct()
-    )
+    # Copies have the same runs and bands, so bands are compared by class, not by record.
+    bands = marks.select("class", F.hash("class").alias("mark"), F.explode(F.array_distinct("bands")).alias("band"))
+    several = bands.groupBy("band").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low != high").select("band")
+    several = stage.keep(several, "several")
+    shared = stage.keep(_beside(bands.drop("mark"), several, "band", max_ids).distinct(), "shared")
+    sizes = shared.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    crowded = stage.keep(shared.join(sizes.where(F.col("n") > crowd), "band", "left_semi").select("class").distinct(), "crowded")
+    thin = shared.join(sizes.where(F.col("n").between(2, crowd)), "band", "left_semi")
+    pairs = thin.select("band", F.col("class").alias("a")).join(thin.select("band", F.col("class").alias("b")), "band").where("a < b").select("a", "b").distinct()
     pairs = stage.keep(pairs, "banded")
-    meant = stage.keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowded).distinct(), "meant")
-    picked = F.broadcast(meant) if meant.count() <= max_ids else meant
-    payload = source.where(F.col("text").isNotNull()).join(picked, "id", "left_semi").mapInArrow(_payload(known, k), "id string, sig binary, runs binary").dropDuplicates(["id"])
-    payload = stage.keep(payload, "payload")
+    meant = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(crowded).distinct()
+    reps = stage.keep(_beside(marks.select("class", "id"), stage.keep(meant, "meant"), "class", max_ids).groupBy("class").agg(F.min("id").alias("id")), "reps")
+    named = stage.keep(_beside(source.where(F.col("text").isNotNull()), reps.select("id"), "id", max_ids).mapInArrow(_payload(known, k), "class binary, sig binary, runs binary"), "payload")
+    payload = named.dropDuplicates(["class"])
     if not crowded.isEmpty():
-        dense = _as_runs(payload.join(crowded, "id", "left_semi"))
+        dense = _as_runs(payload.join(crowded, "class", "left_semi"))
         pairs = stage.keep(pairs.union(_prefixes(dense, threshold)).distinct(), "pairs")
     met = (
         pairs.join(payload.toDF("a", "sig_a", "runs_a"), "a")
         .join(payload.toDF("b", "sig_b", "runs_b"), "b")
         .select("a", "b", "sig_a", "sig_b", "runs_a", "runs_b")
     )
-    links = stage.keep(met.mapInArrow(_verify(threshold), "a string, b string"), "links")
+    links = stage.keep(met.mapInArrow(_verify(threshold), "a binary, b binary"), "links")
+    members = marks.select("id", "class").distinct()
     return NearCopies(members, links, stage)
 
 
@@ -310,8 +311,9 @@ def near_copy_groups(df: DataFrame, id: str = "doc_id", text: str = "text", **kw
         if moved.where("name != was").isEmpty():
             break
     degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
-    known = name.join(degree, "a")
-    return (
-        found.members.join(known.withColumnRenamed("a", "class"), "class", "left")
-        .select(F.col("id").alias(id), F.col("class").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("name", "class").alias("group_id"))
-    )
+    known = name.join(degree, "a").withColumnRenamed("a", "class")
+    least = found.members.groupBy("class").agg(F.min("id").alias("class_id"))
+    named = least.join(known, "class", "left").withColumn("name", F.coalesce("name", "class"))
+    group = named.groupBy("name").agg(F.min("class_id").alias("group_id"))
+    classes = named.join(group, "name").select("class", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "group_id")
+    return found.members.join(classes, "class").select(F.col("id").alias(id), "class_id", "n_links", "group_id")
