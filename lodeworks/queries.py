@@ -1,4 +1,6 @@
 """All core queries and their DuckDB counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lodeworks.catalog import codes, dedup, execution, kernels, ledger, manifest, texts  # noqa: F401
+from lodeworks.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
