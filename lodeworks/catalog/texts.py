@@ -289,6 +289,17 @@ def mask_full(d: DataFrame) -> DataFrame:
     return d.select("doc_id", made.alias("masked"), *(c.cast("long").alias(f"n_{k}") for k, c in counts.items()))
 
 
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+
+
+@query("pii_strict_kinds", "run_pipeline", sql=f"""SELECT doc_id, kind, count(*) AS n FROM (SELECT doc_id, CASE WHEN regexp_matches(w, '^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{{2,}}$') THEN 'email'
+WHEN regexp_matches(w, '^{_OCTET}(?:\\.{_OCTET}){{3}}$') THEN 'ip' WHEN regexp_matches(w, '^\\+?[0-9][0-9().-]+[0-9]$') AND length(regexp_replace(w, '[^0-9]', '', 'g')) BETWEEN 9 AND 13 THEN 'phone' END AS kind
+FROM (SELECT doc_id, unnest({_words(_D)}) AS w FROM run_pipeline)) WHERE kind IS NOT NULL GROUP BY ALL""")
+def strict_kinds(d: DataFrame) -> DataFrame:
+    rows = d.select("doc_id", F.explode(T.words(_text())).alias("w")).select("doc_id", masking.strict_kind(F.col("w")).alias("kind"))
+    return rows.where("kind is not null").groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("pii_totals", "run_pipeline", sql=f"WITH {_MASK} SELECT 'url' AS kind, sum(n_url)::BIGINT AS n FROM m3 UNION ALL SELECT 'email', sum(n_email)::BIGINT FROM m3 UNION ALL SELECT 'ip', sum(n_ip)::BIGINT FROM m3")
 def mask_totals(d: DataFrame) -> DataFrame:
     return masking.totals(d)

@@ -29,7 +29,7 @@ def fingerprints(d: DataFrame, id: str, n: int, text: str = "text") -> DataFrame
 def overlap(d: DataFrame, items: DataFrame, n: int, id: str = "doc_id") -> DataFrame:
     """``id``, ``matched`` and ``total``: distinct fingerprints shared with any item, and all."""
     known = fingerprints(items, "item_id", n).select("fp").distinct().withColumn("hit", F.lit(1))
-    return beside(fingerprints(d, id, n), known, "fp", "left").groupBy(id).agg(F.count("hit").alias("matched"), F.count(F.lit(1)).alias("total"))
+    return beside(fingerprints(d, id, n).distinct(), known, "fp", "left").groupBy(id).agg(F.count("hit").alias("matched"), F.count(F.lit(1)).alias("total"))
 
 
 def contaminated(d: DataFrame, items: DataFrame, n: int, id: str = "doc_id") -> DataFrame:
