@@ -116,3 +116,135 @@ def online(e: DataFrame) -> DataFrame:
 @query("n00_kv_cache_bytes", "packing_policy", sql="SELECT lane, 2::BIGINT * 48 * 8 * 128 * seq_len * 2 AS bytes FROM packing_policy")
 def kv_cache(p: DataFrame) -> DataFrame:
     return p.select("lane", (F.lit(2 * 48 * 8 * 128 * 2).cast("long") * F.col("seq_len")).alias("bytes"))
+
+
+# -- kernels with a state, heads, and position formulas ------------------------------------------
+
+
+def _heads(v: Column, heads: int) -> Column:
+    """The vector's equal slices, one per head."""
+    size = F.size(v)
+    return F.transform(F.sequence(F.lit(0), F.lit(heads - 1)), lambda h: F.slice(v, (h * size / heads).cast("int") + 1, (size / heads).cast("int")))
+
+
+def fold(e: DataFrame, step, out: str = "seq long, p long, norm double") -> DataFrame:
+    """A recurrent kernel over each sequence: ``step(state, x)`` gives the new state and the read-out.
+
+    A sequence is bounded by ``LENGTH`` rows, so each is one small group.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("p", kind="stable")
+        xs = np.stack([np.asarray(x, np.float64) for x in pdf["embedding"]])
+        state = np.zeros((xs.shape[1], xs.shape[1]))
+        norms = []
+        for x in xs:
+            state, read = step(state, x)
+            norms.append(float(np.linalg.norm(read)))
+        return pd.DataFrame({"seq": pdf["seq"], "p": pdf["p"], "norm": norms})
+
+    rows = e.select(F.floor(F.col("vec_id") / LENGTH).alias("seq"), F.pmod("vec_id", F.lit(LENGTH)).alias("p"), "embedding")
+    return rows.groupBy("seq").applyInPandas(run, out)
+
+
+def linear_step(s, x):
+    s = s + _outer(x, x)
+    return s, s @ x
+
+
+def delta_step(s, x, beta: float = 0.5, gate: float = 1.0):
+    s = gate * s
+    s = s + beta * _outer(x - s @ x, x)
+    return s, s @ x
+
+
+def _outer(a, b):
+    return a[:, None] * b[None, :]
+
+
+_PREFIX = f"""WITH p AS (SELECT vec_id // {LENGTH} AS seq, vec_id % {LENGTH} AS p, embedding::DOUBLE[] AS x FROM embeddings), s AS (SELECT q.seq, q.p AS i, k.p AS j, list_dot_product(q.x, k.x) AS d FROM p q JOIN p k ON q.seq = k.seq AND k.p <= q.p)"""
+
+
+@query("n09_linear_attention", "embeddings", sql=f"{_PREFIX}, o AS (SELECT s.seq, s.i, unnest(range(1, len(k.x) + 1)) AS c, unnest(list_transform(k.x, lambda v: v * s.d)) AS v FROM s JOIN p k ON k.seq = s.seq AND k.p = s.j), c AS (SELECT seq, i, c, sum(v) AS v FROM o GROUP BY ALL) SELECT seq, i AS p, round(sqrt(sum(v * v)) * 1000)::BIGINT AS norm FROM c GROUP BY seq, i")
+def linear_attention(e: DataFrame) -> DataFrame:
+    return fold(e, linear_step).withColumn("norm", F.round(F.col("norm") * 1000).cast("long"))
+
+
+@query("n11_delta_rule", "embeddings")
+def delta_rule(e: DataFrame) -> DataFrame:
+    return fold(e, delta_step)
+
+
+@query("n23_gated_delta", "embeddings")
+def gated_delta(e: DataFrame) -> DataFrame:
+    return fold(e, lambda s, x: delta_step(s, x, 0.5, 0.9))
+
+
+@query("n20_selective_state", "embeddings")
+def selective_state(e: DataFrame) -> DataFrame:
+    """The decay depends on the token: a larger first component forgets more."""
+    return fold(e, lambda s, x: delta_step(s, x, 1.0, 1.0 / (1.0 + abs(float(x[0])))))
+
+
+@query("n26_bidirectional", "embeddings", sql=f"""WITH p AS (SELECT vec_id // {LENGTH} AS seq, vec_id % {LENGTH} AS p, embedding FROM embeddings), s AS (SELECT q.seq, q.p AS i, k.p AS j, {_DOT} AS score FROM p q JOIN p k ON q.seq = k.seq AND k.p <> q.p)
+SELECT seq, i, arg_min(j, (-score, j)) AS best, count(*) AS n FROM s GROUP BY seq, i""")
+def bidirectional(e: DataFrame) -> DataFrame:
+    rows = e.select(F.floor(F.col("vec_id") / LENGTH).alias("seq"), F.pmod("vec_id", F.lit(LENGTH)).alias("p"), "embedding")
+    q, k = rows.withColumnsRenamed({"p": "i", "embedding": "q"}), rows.withColumnsRenamed({"p": "j", "embedding": "k"})
+    return strongest(q.join(k, "seq").where("i != j").select("seq", "i", "j", dot("q", "k").alias("score")))
+
+
+@query("n15_grouped_heads", "embeddings", sql="SELECT vec_id, round(1000 * sqrt(list_sum(list_transform(range(1, 33), lambda i: pow((embedding[i] + embedding[i + 32]) / 2.0::DOUBLE, 2)))))::BIGINT AS pooled FROM (SELECT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings)")
+def grouped_heads(e: DataFrame) -> DataFrame:
+    """Key heads pooled by their mean: two halves of each vector stand for two heads of one group."""
+    h = _heads(F.col("embedding"), 2)
+    mean = F.zip_with(h[0], h[1], lambda a, b: (a.cast("double") + b.cast("double")) / 2)
+    return e.select("vec_id", F.round(1000 * F.sqrt(dot(mean, mean))).cast("long").alias("pooled"))
+
+
+@query("n07_shared_key_head", "embeddings", sql="SELECT vec_id, round(1000000 * abs(list_sum(embedding[1:8])))::BIGINT // 10 AS shared FROM (SELECT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings)")
+def shared_key_head(e: DataFrame) -> DataFrame:
+    first = _heads(F.col("embedding"), 8)[0]
+    total = F.aggregate(first, F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return e.select("vec_id", F.floor(F.round(1000000 * F.abs(total)) / 10).alias("shared"))
+
+
+_SPOTS = "range(64) p(p), range(0, 64, 2) d(d)"
+
+
+@query("n02_sinusoidal", sql=f"SELECT p, d, round(1000 * sin(p / pow(10000, d / 64.0)))::BIGINT AS s, round(1000 * cos(p / pow(10000, d / 64.0)))::BIGINT AS c FROM {_SPOTS}")
+def sinusoidal(spark) -> DataFrame:
+    grid = spark.range(64).toDF("p").withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(62).cast("long"), F.lit(2).cast("long"))))
+    angle = F.col("p") / F.pow(F.lit(10000.0), F.col("d") / 64.0)
+    return grid.select("p", "d", F.round(1000 * F.sin(angle)).cast("long").alias("s"), F.round(1000 * F.cos(angle)).cast("long").alias("c"))
+
+
+@query("n12_rope_angles", sql="SELECT s AS stretch, d, round(1e6 / pow(10000, d / 64.0))::BIGINT AS plain, round(1e6 / pow(10000, d / 64.0) / s)::BIGINT AS interpolated, round(1e6 / pow(10000 * pow(s, 64 / 62.0), d / 64.0))::BIGINT AS rebased FROM (VALUES (1), (2), (4), (8)) a(s), range(0, 64, 2) d(d)")
+def rope_angles(spark) -> DataFrame:
+    """Rotation per position of each pair of dimensions: plain, with positions compressed, with the base changed."""
+    grid = spark.createDataFrame([(s,) for s in (1, 2, 4, 8)], "stretch int").withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(62).cast("long"), F.lit(2).cast("long"))))
+    part = F.col("d") / 64.0
+    plain = 1e6 / F.pow(F.lit(10000.0), part)
+    rebased = 1e6 / F.pow(10000.0 * F.pow(F.col("stretch").cast("double"), F.lit(64 / 62.0)), part)
+    return grid.select("stretch", "d", F.round(plain).cast("long").alias("plain"), F.round(plain / F.col("stretch")).cast("long").alias("interpolated"), F.round(rebased).cast("long").alias("rebased"))
+
+
+@query("n18_ramp", sql="SELECT d, round(1000 * least(greatest((d / 2.0 - 4) / 20.0, 0), 1))::BIGINT AS ramp FROM range(0, 64, 2) d(d)")
+def ramp(spark) -> DataFrame:
+    """How far each pair of dimensions is interpolated between its plain and its compressed rotation."""
+    return spark.range(0, 64, 2).toDF("d").select("d", F.round(1000 * F.least(F.greatest((F.col("d") / 2.0 - 4) / 20.0, F.lit(0.0)), F.lit(1.0))).cast("long").alias("ramp"))
+
+
+@query("n10_random_features", "embeddings")
+def random_features(e: DataFrame) -> DataFrame:
+    """Positive random features exp(w.x - |x|^2 / 2) for 16 seeded directions: their mean estimates the softmax kernel."""
+    import random
+
+    gen = random.Random(11)
+    size = 64
+    ws = [[gen.gauss(0, 1) for _ in range(size)] for _ in range(16)]
+    half = dot("embedding", "embedding") / 2
+    feature = lambda w: F.exp(dot(F.array(*map(F.lit, w)), F.col("embedding")) - half)
+    return e.select("vec_id", (sum((feature(w) for w in ws[1:]), feature(ws[0])) / len(ws)).alias("mean_feature"))
