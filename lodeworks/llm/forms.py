@@ -25,6 +25,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeworks.runtime import Stage
+
 #: Words the workers may hold of those that repairs lead to; beyond it they are joined.
 MAX_BROADCAST_WORDS = 400_000
 #: Distinct words a worker gathers before it hands them on.
@@ -318,7 +320,8 @@ def lookalike_pairs(df: DataFrame, id: str = "doc_id", text: str = "text", **kw)
                         stored.append(_key(t))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(looks, pa.binary()), pa.array(stored, pa.binary())], names=["id", "look", "stored"])
 
-    marks = rows.withColumn("id", F.col("id").cast("string")).mapInArrow(run, "id string, look binary, stored binary")
+    stage = Stage(df.sparkSession, "forms")
+    marks = stage.keep(rows.withColumn("id", F.col("id").cast("string")).mapInArrow(run, "id string, look binary, stored binary"), "marks")
     several = marks.groupBy("look").agg(F.min("stored").alias("low"), F.max("stored").alias("high")).where("low != high").select("look")
     held = marks.join(several, "look", "left_semi").distinct()
     spelt = held.select("look", "stored").distinct()
