@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeworks.catalog.texts import _canon, _D, _grams, _words
@@ -126,11 +126,16 @@ def overlap_pct(d: DataFrame, b: DataFrame) -> DataFrame:
     return dedup.overlap(d, b, 8).withColumn("per_10k", F.floor(F.col("matched") * 10000 / F.col("total")))
 
 
-@query("h08_corpus_hash", "documents", sql=f"SELECT sha256(string_agg(sha256({_D}), '' ORDER BY doc_id)) AS digest FROM documents")
+@query("h08_corpus_hash", "documents", sql=f"SELECT sha256(string_agg(h, '' ORDER BY block)) AS digest FROM (SELECT doc_id // 10000 AS block, sha256(string_agg(sha256({_D}), '' ORDER BY doc_id)) AS h FROM documents GROUP BY 1)")
 def corpus_hash(d: DataFrame) -> DataFrame:
-    """One digest over the digests of all texts in order of their ids (64 bytes a text, not the texts)."""
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.sha2(T.text_of("text"), 256).alias("h")))), lambda x: x["h"])
-    return d.agg(F.sha2(F.array_join(listed, ""), 256).alias("digest"))
+    """One digest of all texts in order of their ids: texts, then blocks of 10,000 ids, then the blocks' digests."""
+
+    def joined(order: str, digest: str) -> Column:
+        return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, digest))), lambda x: x[digest]), ""), 256)
+
+    texts = d.select("doc_id", F.floor(F.col("doc_id") / 10_000).alias("block"), F.sha2(T.text_of("text"), 256).alias("h"))
+    blocks = texts.groupBy("block").agg(joined("doc_id", "h").alias("h"))
+    return blocks.agg(joined("block", "h").alias("digest"))
 
 
 _IDS = lambda x: f"list_transform({x}, lambda w: ('0x' || substr(md5(w), 1, 6))::BIGINT)"

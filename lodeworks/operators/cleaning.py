@@ -92,15 +92,19 @@ def probes(d: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def funnel(d: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents and words left after each stage, from flags of one pass and one aggregate."""
-    raw = T.text_of(text)
-    first = Window.partitionBy(F.md5("raw")).orderBy(id)
-    flags = d.select(id, raw.alias("raw")).select(
-        F.size(T.words(F.col("raw"))).alias("t"), T.is_english(F.col("raw")).alias("p1"), (F.size(T.quality_reasons(F.col("raw"))) == 0).alias("p2"), (F.row_number().over(first) == 1).alias("p3")
-    )
-    kept: dict[str, Column] = {"load": F.lit(True), "langid": F.col("p1"), "quality": F.col("p1") & F.col("p2"), "exact_dedup": F.col("p1") & F.col("p2") & F.col("p3")}
-    sums = flags.agg(*(F.count_if(c).alias(f"d_{s}") for s, c in kept.items()), *(F.sum(F.when(c, F.col("t"))).alias(f"t_{s}") for s, c in kept.items()))
+def funnel(d: DataFrame, text: str = "text") -> DataFrame:
+    """Documents and words left after each stage, from one aggregate over distinct texts.
+
+    The flags depend on the text alone, so copies are counted, not kept apart, and a text
+    that a third of the rows share is one pre-aggregated group.
+    """
+    raw = d.select(T.text_of(text).alias("raw"))
+    flags = raw.select(F.md5("raw").alias("key"), F.size(T.words(F.col("raw"))).alias("t"), T.is_english(F.col("raw")).alias("p1"), (F.size(T.quality_reasons(F.col("raw"))) == 0).alias("p2"))
+    per = flags.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("t"), F.max("p1").alias("p1"), F.max("p2").alias("p2"))
+    kept: dict[str, tuple[Column, Column]] = {
+        "load": (F.lit(True), F.col("n")), "langid": (F.col("p1"), F.col("n")), "quality": (F.col("p1") & F.col("p2"), F.col("n")), "exact_dedup": (F.col("p1") & F.col("p2"), F.lit(1).cast("long")),
+    }
+    sums = per.agg(*(F.coalesce(F.sum(F.when(c, n)), F.lit(0)).alias(f"d_{s}") for s, (c, n) in kept.items()), *(F.sum(F.when(c, n * F.col("t"))).alias(f"t_{s}") for s, (c, n) in kept.items()))
     return sums.select(F.inline(F.array(*(F.struct(F.lit(s).alias("stage"), F.col(f"d_{s}").alias("docs"), F.col(f"t_{s}").alias("tokens")) for s in kept))))
 
 

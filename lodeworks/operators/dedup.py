@@ -51,7 +51,7 @@ def banded(d: DataFrame, id: str, bands: int = H.BANDS) -> DataFrame:
 
 def candidates(rows: DataFrame, id: str, crowd: int = CROWD) -> DataFrame:
     """Pairs a < b that share a bucket. Of a crowded bucket, each document meets the bucket's
-    first one only: duplicates of one another are found through it."""
+    first one only: banding is an estimate, and ``jaccard_pairs`` is the exact operator."""
     sizes = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min(id).alias("first")).where("n > 1")
     held = rows.select("band", "key", id).join(sizes, ["band", "key"])
     small = held.where(F.col("n") <= crowd)
