@@ -84,7 +84,7 @@ def nfc(d: DataFrame) -> DataFrame:
 
 @query("t08_words", "documents", sql=f"SELECT doc_id, len({_words(_D)}) AS n_words, length({_ws(_words(_D))}) AS n_chars FROM documents")
 def words(d: DataFrame) -> DataFrame:
-    return d.select("doc_id", F.size(T.words(_text())).cast("long").alias("n_words"), T.word_chars(_text()).cast("long").alias("n_chars"))
+    return d.select("doc_id", T.n_words(_text()).cast("long").alias("n_words"), T.word_chars(_text()).cast("long").alias("n_chars"))
 
 
 @query("t09_latin_ratio", "documents", sql=f"SELECT doc_id, {_gone(_D, '[^\\p{L}]')} AS n_letters, {_gone(_D, '[^A-Za-z]')} AS n_latin FROM documents")
@@ -109,7 +109,7 @@ spoken AS (SELECT *, n > 0 AND w > 0 AND la::DOUBLE / n >= 0.7 AND st::DOUBLE /
 
 @query("t11_stopword_counts", "documents", sql=f"WITH {_ENGLISH} SELECT doc_id, w AS n_words, st AS n_stop FROM counted")
 def stopwords(d: DataFrame) -> DataFrame:
-    return d.select("doc_id", F.size(T.ascii_words(_text())).cast("long").alias("n_words"), T.english_hits(_text()).cast("long").alias("n_stop"))
+    return d.select("doc_id", T.n_ascii_words(_text()).cast("long").alias("n_words"), T.english_hits(_text()).cast("long").alias("n_stop"))
 
 
 @query("f01_language_filter", "documents", sql=f"WITH {_ENGLISH} SELECT lang, count(*) FILTER (WHERE english) AS kept, count(*) FILTER (WHERE NOT english) AS dropped FROM spoken GROUP BY lang")
@@ -328,7 +328,7 @@ def stage_funnel(d: DataFrame) -> DataFrame:
 
 @query("a02_fertility", "documents", sql=f"SELECT lang, sum(len({_tokens(_D)}))::BIGINT AS tokens, sum(len({_words(_D)}))::BIGINT AS words FROM documents GROUP BY lang")
 def fertility(d: DataFrame) -> DataFrame:
-    return d.groupBy("lang").agg(F.sum(F.size(T.tokens(_text()))).alias("tokens"), F.sum(F.size(T.words(_text()))).alias("words"))
+    return d.groupBy("lang").agg(F.sum(F.size(T.tokens(_text()))).alias("tokens"), F.sum(T.n_words(_text())).alias("words"))
 
 
 @query("a14_fertility_spread", "documents", sql=f"SELECT max(f) - min(f) AS spread_millis FROM (SELECT (1000 * sum(len({_tokens(_D)}))::BIGINT) // greatest(sum(len({_words(_D)}))::BIGINT, 1) AS f FROM documents GROUP BY lang)")

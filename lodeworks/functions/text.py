@@ -92,11 +92,11 @@ def count_of(text: Column, pattern: str) -> Column:
 
 
 def letters(text: Column) -> Column:
-    return count_of(text, r"[^\p{L}]")
+    return count_of(text, r"[^\p{L}]+")
 
 
 def latin_letters(text: Column) -> Column:
-    return count_of(text, "[^A-Za-z]")
+    return count_of(text, "[^A-Za-z]+")
 
 
 def kannada_letters(text: Column) -> Column:
@@ -112,43 +112,59 @@ def ascii_words(text: Column) -> Column:
     return matches(F.lower(text), "[a-z']+")
 
 
+def n_ascii_words(text: Column) -> Column:
+    return F.regexp_count(F.lower(text), F.lit("[a-z']+"))
+
+
 def english_hits(text: Column) -> Column:
-    return F.size(F.filter(ascii_words(text), lambda w: w.isin(ENGLISH)))
+    """How many of the words are English stop words, in one pass of one pattern."""
+    return F.regexp_count(F.lower(text), F.lit(f"(?<![a-z'])(?:{'|'.join(ENGLISH)})(?![a-z'])"))
 
 
 def is_english(text: Column, latin: float = 0.7, stop: float = 0.04) -> Column:
-    return (ratio(latin_letters(text), letters(text)) >= latin) & (ratio(english_hits(text), F.size(ascii_words(text))) >= stop)
+    return (ratio(latin_letters(text), letters(text)) >= latin) & (ratio(english_hits(text), n_ascii_words(text)) >= stop)
 
 
 def symbols(text: Column, indic_aware: bool = True) -> Column:
     keep = r"\x{900}-\x{d7f}" if indic_aware else ""
-    return count_of(text, rf"[\p{{L}}\p{{N}}{WS}{keep}]")
+    return count_of(text, rf"[\p{{L}}\p{{N}}{WS}{keep}]+")
 
 
 def lines(text: Column) -> Column:
     """Lines that hold more than white space, as they stand."""
-    return F.filter(F.split(text, "\n"), lambda line: F.length(strip(line)) > 0)
+    return F.filter(F.split(text, "\n"), lambda line: line.rlike(f"[^{WS}]"))
+
+
+#: A line with text around two bars.
+NAV = r"^.+\|.+\|.+"
 
 
 def nav_lines(text: Column) -> Column:
-    return F.size(F.filter(lines(text), lambda line: line.rlike(r"^.+\|.+\|.+")))
+    return F.size(F.filter(lines(text), lambda line: line.rlike(NAV)))
 
 
 def word_chars(text: Column) -> Column:
-    return F.aggregate(words(text), F.lit(0), lambda a, w: a + F.length(w))
+    return count_of(text, f"[{WS}]+")
+
+
+def n_words(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(f"[^{WS}]+"))
 
 
 def quality_reasons(text: Column, min_chars: int = 200, symbol: float = 0.25, nav: float = 0.5, dup: float = 0.3, low: float = 1.2, high: float = 40.0) -> Column:
     """All reasons to drop a text, in a fixed order; none for one to keep."""
-    held, n = lines(text), F.size(lines(text))
-    mean = ratio(word_chars(text), F.size(words(text)))
-    return F.array_compact(F.array(
-        F.when(F.length(text) < min_chars, F.lit("too_short")),
-        F.when(symbols(text) / F.greatest(F.length(text), F.lit(1)) > symbol, F.lit("too_many_symbols")),
-        F.when((n > 0) & (nav_lines(text) / n > nav), F.lit("boilerplate")),
-        F.when((n > 0) & ((n - F.size(F.array_distinct(held))) / n > dup), F.lit("dup_lines")),
-        F.when((F.size(words(text)) > 0) & ((mean < low) | (mean > high)), F.lit("word_len")),
-    ))
+    def reasons(held: Column) -> Column:
+        n, w, c = F.size(held), n_words(text), word_chars(text)
+        navs = F.size(F.filter(held, lambda line: line.rlike(NAV)))
+        return F.array_compact(F.array(
+            F.when(F.length(text) < min_chars, F.lit("too_short")),
+            F.when(symbols(text) / F.greatest(F.length(text), F.lit(1)) > symbol, F.lit("too_many_symbols")),
+            F.when((n > 0) & (navs / n > nav), F.lit("boilerplate")),
+            F.when((n > 0) & ((n - F.size(F.array_distinct(held))) / n > dup), F.lit("dup_lines")),
+            F.when((w > 0) & ((c / w < low) | (c / w > high)), F.lit("word_len")),
+        ))
+
+    return let(lines(text), reasons)
 
 
 def canonical(text: Column) -> Column:
@@ -207,7 +223,7 @@ def heuristics(text: Column) -> dict[str, Column]:
     ws, held = words(text), lines(text)
     clean = F.transform(ws, lambda w: F.regexp_replace(F.lower(w), r"[^a-z]", ""))
     return {
-        "n_words": F.size(ws),
+        "n_words": n_words(text),
         "n_chars": word_chars(text),
         "n_symbols": F.size(matches(text, SYMBOLS)),
         "n_lines": F.size(held),

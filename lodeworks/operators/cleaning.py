@@ -99,7 +99,7 @@ def funnel(d: DataFrame, text: str = "text") -> DataFrame:
     that a third of the rows share is one pre-aggregated group.
     """
     raw = d.select(T.text_of(text).alias("raw"))
-    flags = raw.select(F.md5("raw").alias("key"), F.size(T.words(F.col("raw"))).alias("t"), T.is_english(F.col("raw")).alias("p1"), (F.size(T.quality_reasons(F.col("raw"))) == 0).alias("p2"))
+    flags = raw.select(F.md5("raw").alias("key"), T.n_words(F.col("raw")).alias("t"), T.is_english(F.col("raw")).alias("p1"), (F.size(T.quality_reasons(F.col("raw"))) == 0).alias("p2"))
     per = flags.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("t"), F.max("p1").alias("p1"), F.max("p2").alias("p2"))
     kept: dict[str, tuple[Column, Column]] = {
         "load": (F.lit(True), F.col("n")), "langid": (F.col("p1"), F.col("n")), "quality": (F.col("p1") & F.col("p2"), F.col("n")), "exact_dedup": (F.col("p1") & F.col("p2"), F.lit(1).cast("long")),

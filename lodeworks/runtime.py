@@ -92,7 +92,20 @@ class Stage:
         _remove(self.spark, f"{self.path}/{name}" if name else self.path)
 
 
+#: Bytes of a single file from which its rows are spread over all cores before work on them.
+SPREAD = 1_000_000
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A test table, read as Parquet so that filters and columns reach the scan."""
+    """A test table, read as Parquet so that filters and columns reach the scan.
+
+    A table that is one small file of one row group would keep a single core busy; its
+    rows are spread. Tables of several splits, as any large one, are read as they are.
+    """
     ship(spark)
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    path = f"{folder}/{name}.parquet"
+    df = spark.read.parquet(path)
+    here = Path(path)
+    if here.is_file() and here.stat().st_size >= SPREAD and df.rdd.getNumPartitions() == 1:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
