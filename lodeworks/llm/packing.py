@@ -98,8 +98,8 @@ def packed(df: DataFrame, policy: DataFrame, id: str = "doc_id", text: str = "te
     rows = sized.join(caps, "lane", "left").withColumn("capacity", F.coalesce("capacity", F.lit(default)).cast("int"))
     per_lane = sized.groupBy("lane").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).alias("chunks"))
     rows = rows.join(per_lane.withColumnRenamed("lane", "its"), F.col("lane").eqNullSafe(F.col("its"))).drop("its")
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks"))).drop("chunks")
     rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("id", "lane").orderBy("n_tokens")).cast("long") - 1)
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "copy"), F.col("chunks"))).drop("chunks")
     whole = F.floor(F.col("n_tokens") / F.col("capacity")).cast("int")
     pieces = rows.withColumn("whole", whole).withColumn("rest", F.col("n_tokens") - F.col("whole") * F.col("capacity"))
     full = pieces.where("whole > 0").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("whole") - 1))).select(
@@ -112,7 +112,7 @@ def packed(df: DataFrame, policy: DataFrame, id: str = "doc_id", text: str = "te
     placed = stage.keep(loose.groupBy("lane", "chunk").applyInPandas(_place, _PLACED), "placed")
     partly = placed.where("fill < capacity").drop("fill", "box", "chunk")
     left = partly.groupBy("lane").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).alias("groups")).withColumnRenamed("lane", "its")
-    grouped = partly.join(left, F.col("lane").eqNullSafe(F.col("its"))).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit("again")), F.col("groups"))).drop("its", "groups")
+    grouped = partly.join(left, F.col("lane").eqNullSafe(F.col("its"))).withColumn("chunk", F.pmod(F.xxhash64("id", "copy", F.lit("again")), F.col("groups"))).drop("its", "groups")
     again = grouped.groupBy("lane", "chunk").applyInPandas(_again, _PLACED.replace(", fill long", ""))
     label = lambda round_: F.concat_ws("-", F.coalesce("lane", F.lit("(none)")), F.lit(round_), "chunk", "box").alias("container")
     kept = ["lane", "capacity", "id", "copy", "piece", "start", "n_tokens"]
