@@ -285,3 +285,75 @@ def readiness(m: DataFrame) -> DataFrame:
 @query("a18_perplexity_bands", "events", sql="SELECT event_type, count(*) FILTER (WHERE value >= 60) AS hot, count(*) AS n FROM events GROUP BY 1")
 def perplexity_bands(e: DataFrame) -> DataFrame:
     return e.groupBy("event_type").agg(F.count_if(F.col("value") >= 60).alias("hot"), F.count(F.lit(1)).alias("n"))
+
+
+# -- shares, lookups and comparisons ---------------------------------------------------------------
+
+
+@query("a10_reject_share", "manifest", sql="SELECT lower(trim(capability_lane)) AS lane, count(*) FILTER (WHERE admission <> 'admitted') * 10000 // count(*) AS per_10k FROM manifest GROUP BY 1")
+def reject_share(m: DataFrame) -> DataFrame:
+    return m.groupBy(F.lower(F.trim("capability_lane")).alias("lane")).agg(F.floor(F.count_if(F.col("admission") != "admitted") * 10000 / F.count(F.lit(1))).alias("per_10k"))
+
+
+@query("a13_collisions_by_script", "documents", sql=f"""WITH t AS (SELECT DISTINCT w FROM (SELECT unnest({_words(_D)}) AS w FROM documents)), k AS (SELECT w, substr(w, 1, 6) AS key, CASE WHEN regexp_matches(w, '^[A-Za-z]') THEN 'latin' ELSE 'other' END AS script FROM t),
+c AS (SELECT *, count(*) OVER (PARTITION BY key) AS n_key FROM k) SELECT script, count(*) AS n, count(*) FILTER (WHERE n_key > 1) AS collided, count(*) FILTER (WHERE length(w) > 6) AS cropped, sum(greatest(octet_length(encode(w)) - 6, 0))::BIGINT AS bytes_lost FROM c GROUP BY script""")
+def collisions_by_script(d: DataFrame) -> DataFrame:
+    from lodeworks.operators.dedup import collided
+
+    tokens = d.select(F.explode(T.words(T.text_of("text"))).alias("w")).distinct().withColumns({"key": F.substring("w", 1, 6), "script": F.when(F.col("w").rlike("^[A-Za-z]"), "latin").otherwise("other")})
+    return collided(tokens, "key").groupBy("script").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("collides").alias("collided"), F.count_if(F.length("w") > 6).alias("cropped"), F.sum(F.greatest(F.octet_length("w") - 6, F.lit(0))).alias("bytes_lost")
+    )
+
+
+@query("v01_role_slots", "documents", sql=f"""SELECT i % 8 AS wrapped, count(*) AS n, count(*) FILTER (WHERE i < 8) AS kept, count(*) FILTER (WHERE len > 8 AND i >= len - 4 OR i < 4) AS at_ends FROM
+(SELECT length(w) AS len, unnest(range(length(w))) AS i FROM (SELECT unnest({_words(_D)}) AS w FROM documents)) GROUP BY 1""")
+def role_slots(d: DataFrame) -> DataFrame:
+    """Positions of characters under three schemes: wrapped into 8 slots, cut after 8, or kept at both ends."""
+    spots = d.select(F.explode(T.words(T.text_of("text"))).alias("w")).select(F.length("w").alias("len"), F.explode(F.sequence(F.lit(0), F.length("w") - 1)).alias("i"))
+    ends = ((F.col("len") > 8) & (F.col("i") >= F.col("len") - 4)) | (F.col("i") < 4)
+    return spots.groupBy((F.col("i") % 8).cast("long").alias("wrapped")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("i") < 8).alias("kept"), F.count_if(ends).alias("at_ends"))
+
+
+@query("b09_microbatches", "ledger", sql="WITH e AS (SELECT DISTINCT ON (ledger_offset) * FROM ledger) SELECT ledger_offset // 4 AS microbatch, count(*) AS n, string_agg(loss_mask_hash, ',' ORDER BY ledger_offset) AS masks, sum(seq_len)::BIGINT AS tokens FROM e GROUP BY 1")
+def microbatches(e: DataFrame) -> DataFrame:
+    """Four samples a microbatch, each field gathered in order."""
+    rows = e.dropDuplicates(["ledger_offset"]).groupBy(F.floor(F.col("ledger_offset") / 4).alias("microbatch"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("ledger_offset", "loss_mask_hash"))), lambda x: x["loss_mask_hash"])
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.array_join(listed, ",").alias("masks"), F.sum("seq_len").alias("tokens"))
+
+
+@query("l09_resume_matches", "ledger", sql="""WITH e AS (SELECT DISTINCT ON (ledger_offset) * FROM ledger), k AS (SELECT run_branch_id, ledger_offset, row_number() OVER (PARTITION BY run_branch_id ORDER BY ledger_offset) AS step FROM e)
+SELECT run_branch_id, count(*) FILTER (WHERE step > 10) AS redone, bool_and(step <= 10 OR step - 10 >= 1) AS matched FROM k GROUP BY 1""")
+def resume_matches(e: DataFrame) -> DataFrame:
+    """Rolled back to its tenth commit and run again, a branch repeats exactly the offsets it had after it."""
+    step = F.row_number().over(Window.partitionBy("run_branch_id").orderBy("ledger_offset"))
+    rows = e.dropDuplicates(["ledger_offset"]).select("run_branch_id", "ledger_offset", step.alias("step"))
+    kept, again = rows.where("step <= 10"), rows.where("step > 10")
+    both = kept.unionByName(again).groupBy("run_branch_id", "ledger_offset").agg(F.max("step").alias("step"), F.count(F.lit(1)).alias("times"))
+    return both.groupBy("run_branch_id").agg(F.count_if(F.col("step") > 10).alias("redone"), F.min(F.col("times") == 1).alias("matched"))
+
+
+@query("l20_confidence", "mixture", sql="SELECT lane, greatest(0, 100 - max(share_pct) - count(*) * 5) AS confidence FROM mixture GROUP BY lane")
+def confidence(m: DataFrame) -> DataFrame:
+    return m.groupBy("lane").agg(F.greatest(F.lit(0.0), 100 - F.max("share_pct") - F.count(F.lit(1)) * 5).alias("confidence"))
+
+
+@query("l24_token_loss", "events", sql="SELECT CASE WHEN l < 6 THEN 'low' WHEN l < 14 THEN 'fair' WHEN l < 28 THEN 'warm' WHEN l < 60 THEN 'hot' ELSE 'top' END AS band, count(*) AS n FROM (SELECT CASE WHEN event_type = 'view' THEN greatest(value * 0.28, 0.05) ELSE value END AS l FROM events) GROUP BY 1")
+def token_loss(e: DataFrame) -> DataFrame:
+    loss = F.when(F.col("event_type") == "view", F.greatest(F.col("value") * 0.28, F.lit(0.05))).otherwise(F.col("value"))
+    band = F.when(loss < 6, "low").when(loss < 14, "fair").when(loss < 28, "warm").when(loss < 60, "hot").otherwise("top")
+    return e.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("x02_profile_lookup", "ledger", "mixture", sql="SELECT e.curriculum_stage AS stage, e.mixture_lane AS lane, max(m.share_pct) AS share_pct, count(*) AS n FROM ledger e LEFT JOIN mixture m ON m.stage = e.curriculum_stage AND m.lane = e.mixture_lane GROUP BY ALL")
+def profile_lookup(e: DataFrame, m: DataFrame) -> DataFrame:
+    counts = e.groupBy(F.col("curriculum_stage").alias("stage"), F.col("mixture_lane").alias("lane")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(m.select("stage", "lane", "share_pct"), ["stage", "lane"], "left")
+
+
+@query("n04_learned_positions", "documents", sql=f"SELECT n > 512 AS past_last, count(*) AS n_docs, sum(least(n, 512))::BIGINT AS with_row, sum(greatest(n - 512, 0))::BIGINT AS without_row FROM (SELECT {_LEN} AS n FROM documents WHERE {_LEN} > 0) GROUP BY 1")
+def learned_positions(d: DataFrame) -> DataFrame:
+    """A table of 512 learned positions has a row for each position before its end and none after it."""
+    n = F.col("n")
+    return lengths(d).groupBy((n > 512).alias("past_last")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.least(n, F.lit(512))).alias("with_row"), F.sum(F.greatest(n - 512, F.lit(0))).alias("without_row"))
