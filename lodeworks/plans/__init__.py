@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Whole runs put together from the operators."""

@@ -187,3 +187,19 @@ def test_names_by_an_injected_recogniser(spark):
     d = spark.createDataFrame([(1, "so Ann said"), (2, None), (3, "none")], "doc_id long, text string")
     got = {r["doc_id"]: (r["text"], r["n_names"]) for r in masking.names_masked(d, find).collect()}
     assert got == {1: ("so [NAME] said", 1), 2: (None, 0), 3: ("none", 0)}
+
+
+def test_cleaning_run_end_to_end(spark):
+    from lodeworks.plans.cleaning import clean
+
+    gen = random.Random(6)
+    say = lambda n: " ".join(gen.choice("the river of and to in a market was for with at this from garden house people they".split()) + gen.choice(["", "", " stone", " light"]) for _ in range(n))
+    first, leak = say(90), say(90)
+    near = first + " end"
+    rows = [("a", first), ("b", near), ("c", first), ("d", say(80) + " mail a@b.co"), ("e", leak), ("f", "short"), ("g", None), ("h", say(80) + " MARK-1"), ("a", first)]
+    items = spark.createDataFrame([(1, " ".join(leak.split()[10:40]))], "item_id long, text string")
+    kept, report = clean(spark.createDataFrame(rows, "doc_id string, text string"), items, canary="MARK-1")
+    got = {r["doc_id"]: r["text"] for r in kept.collect()}
+    assert sorted(got) == ["a", "d"] and got["d"].endswith("[EMAIL]")
+    counts = [r["docs"] for r in report.collect()]
+    assert counts == sorted(counts, reverse=True) and counts[0] == 8
