@@ -47,7 +47,7 @@ def band_keys(d: DataFrame) -> DataFrame:
 @query("j01_lsh_candidates", "documents", sql=f"""WITH {_SETS}, {_SIGS}, {_BANDS}, sizes AS (SELECT b, key, count(*) AS n, min(doc_id) AS f FROM bands GROUP BY ALL HAVING count(*) > 1)
 SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM bands x JOIN sizes s USING (b, key) JOIN bands y USING (b, key) WHERE x.doc_id < y.doc_id AND (s.n <= {dedup.CROWD} OR x.doc_id = s.f)""")
 def lsh_candidates(d: DataFrame) -> DataFrame:
-    return dedup.candidates(dedup.banded(d, "doc_id"), "doc_id")
+    return dedup.lsh_pairs(d, "doc_id")
 
 
 @query("h04_signature_agreement", "documents", sql=f"""WITH {_SETS}, {_SIGS}, {_BANDS}, sizes AS (SELECT b, key, count(*) AS n, min(doc_id) AS f FROM bands GROUP BY ALL HAVING count(*) > 1),
@@ -59,7 +59,7 @@ def agreement(d: DataFrame) -> DataFrame:
 
 @query("d01_minhash_dedup", "documents")
 def minhash_dedup(d: DataFrame) -> DataFrame:
-    return dedup.greedy(dedup.minhash_links(d, "doc_id", 103)).select(F.col("node").alias("doc_id"), F.lit(True).alias("is_dup"))
+    return dedup.minhash_dropped(d, "doc_id", 103).select("doc_id", F.lit(True).alias("is_dup"))
 
 
 _PAIRS = f"""{_SETS.replace("FROM documents", "FROM run_pipeline")}, reps AS (SELECT min(doc_id) AS rep, h FROM sets WHERE len(h) > 0 GROUP BY h), x AS (SELECT rep, unnest(h) AS g FROM reps),

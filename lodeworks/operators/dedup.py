@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeworks.functions import hashing as H
@@ -11,7 +11,7 @@ from lodeworks.runtime import Stage
 
 #: Fingerprints up to which the evaluation side goes to every worker.
 MAX_BROADCAST = 5_000_000
-#: Documents of one band bucket up to which its pairs are formed.
+#: Documents of one band bucket up to which the SQL of j01 and h04 forms its pairs; the operators form all.
 CROWD = 64
 
 
@@ -49,26 +49,82 @@ def banded(d: DataFrame, id: str, bands: int = H.BANDS) -> DataFrame:
     return sigs.select(id, "sig", F.posexplode(H.band_keys(F.col("sig"), bands)).alias("band", "key"))
 
 
-def candidates(rows: DataFrame, id: str, crowd: int = CROWD) -> DataFrame:
-    """Pairs a < b that share a bucket. Of a crowded bucket, each document meets the bucket's
-    first one only: banding is an estimate, and ``jaccard_pairs`` is the exact operator."""
-    sizes = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min(id).alias("first")).where("n > 1")
-    held = rows.select("band", "key", id).join(sizes, ["band", "key"])
-    small = held.where(F.col("n") <= crowd)
-    met = small.select("band", "key", F.col(id).alias("a")).join(small.select("band", "key", F.col(id).alias("b")), ["band", "key"]).where("a < b").select("a", "b")
-    star = held.where((F.col("n") > crowd) & (F.col(id) != F.col("first"))).select(F.col("first").alias("a"), F.col(id).alias("b"))
-    return met.union(star).distinct()
+def signature_classes(d: DataFrame, id: str) -> tuple[DataFrame, DataFrame]:
+    """``id`` and ``rep`` of every document, and ``rep``, ``n`` and ``sig`` of every class of equal signatures, named by its least id."""
+    stage = Stage(d.sparkSession, "classes")
+    sigs = stage.keep(shingle_hashes(d, id).select(id, H.signature(F.col("hashes")).alias("sig")), "sigs")
+    of = sigs.select(id, F.md5(F.array_join(F.transform("sig", lambda v: v.cast("string")), ",")).alias("of"))
+    sizes = of.groupBy("of").agg(F.min(id).alias("rep"), F.count(F.lit(1)).alias("n"))
+    members = stage.keep(of.join(sizes, "of").select(id, "rep", "n"), "members")
+    first = members.where(F.col(id) == F.col("rep")).select("rep", "n").distinct()
+    return members.select(id, "rep"), first.join(sigs.select(F.col(id).alias("rep"), "sig"), "rep")
 
 
-def minhash_links(d: DataFrame, id: str, least: int, crowd: int = CROWD) -> DataFrame:
-    """Pairs a < b of candidates whose signatures agree in at least ``least`` values."""
-    rows = banded(d, id)
-    sigs = rows.where("band = 0").select(id, "sig")
-    pairs = candidates(rows, id, crowd)
-    both = pairs.join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b")
+def shared_buckets(reps: DataFrame) -> DataFrame:
+    """``rep``, ``band``, ``key`` and ``k``, the classes in it, of every bucket of more than one class."""
+    keys = reps.select("rep", F.posexplode(H.band_keys(F.col("sig"))).alias("band", "key")).withColumn("key", F.unhex("key"))
+    return keys.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("band", "key"))).where("k > 1")
+
+
+def candidates(rows: DataFrame, id: str) -> DataFrame:
+    """All pairs a < b that share a bucket."""
+    side = lambda name: rows.select("band", "key", F.col(id).alias(name))
+    return side("a").join(side("b"), ["band", "key"]).where("a < b").select("a", "b").distinct()
+
+
+def spread(pairs: DataFrame, members: DataFrame, reps: DataFrame, id: str, part: int = 1_000) -> DataFrame:
+    """Pairs a < b of documents: those of paired classes, and those within each class.
+
+    The work on a large class is cut into parts of about ``part`` documents; the pairs do not depend on it.
+    """
+    parts = reps.select(F.col("rep").alias("b"), F.ceil(F.col("n") / part).alias("parts"))
+    classes_ = pairs.select("a", "b").union(reps.where("n > 1").select("rep", "rep")).join(parts, "b")
+    left = classes_.join(members.select(F.col("rep").alias("a"), F.col(id).alias("x")), "a").withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")))
+    right = members.select(F.col("rep").alias("b"), F.col(id).alias("y")).join(parts, "b").select("b", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    met = left.join(right, ["b", "part"]).where((F.col("a") != F.col("b")) & (F.col("x") != F.col("y")) | (F.col("x") < F.col("y")))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def lsh_pairs(d: DataFrame, id: str) -> DataFrame:
+    """All pairs a < b of documents that share a band bucket; classes of equal signatures are banded once."""
+    members, reps = signature_classes(d, id)
+    return spread(candidates(shared_buckets(reps), "rep"), members, reps, id)
+
+
+def near_classes(reps: DataFrame, least: int) -> DataFrame:
+    """All pairs a < b of classes that share a bucket and agree in at least ``least`` signature values.
+
+    m values that differ spoil at most m bands, so of any m + 1 bands of such a pair one agrees:
+    the m + 1 rarest buckets of each class (by one order for all) hold every pair, and buckets
+    that are crowded are mostly left out. If m + 1 exceeds the bands, all are compared.
+    """
+    ranked = shared_buckets(reps).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("k", "band", "key"))).alias("all"))
+    most = F.lit(H.HASHES - least + 1 - H.BANDS) + F.size("all")  # its buckets of one class come before these
+    rare = ranked.where(most > 0).select("rep", F.explode(F.slice("all", F.lit(1), most)).alias("at")).select("rep", "at.band", "at.key")
+    met = Stage(reps.sparkSession, "met").keep(candidates(rare, "rep"), "pairs")
+    ends = met.select(F.col("a").alias("rep")).union(met.select("b")).distinct()
+    sigs = beside(reps.select("rep", "sig"), ends, "rep", "left_semi")
+    both = met.join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b")
     return both.where(H.agreement(F.col("sig_a"), F.col("sig_b")) >= least).select("a", "b")
 
 
+def minhash_links(d: DataFrame, id: str, least: int) -> DataFrame:
+    """All pairs a < b that share a bucket and whose signatures agree in at least ``least`` values."""
+    members, reps = signature_classes(d, id)
+    return spread(near_classes(reps, least), members, reps, id)
+
+
+def minhash_dropped(d: DataFrame, id: str, least: int) -> DataFrame:
+    """Ids that first-seen removal over ``minhash_links`` drops.
+
+    Documents of one class have the same links, so all but its first are dropped and keep
+    nobody out; the greedy rounds run over the first ones alone.
+    """
+    members, reps = signature_classes(d, id)
+    first = greedy(near_classes(reps, least)).select(F.col("node").alias(id))
+    return members.where(F.col(id) != F.col("rep")).select(id).union(first).distinct()
+
+
 def jaccard_pairs(d: DataFrame, id: str, k: int = 5, threshold: float = 0.8) -> DataFrame:
     """``a``, ``b``, ``common``, ``total`` of all pairs of distinct texts that reach the threshold, exactly.
 

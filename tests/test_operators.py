@@ -203,3 +203,29 @@ def test_cleaning_run_end_to_end(spark):
     assert sorted(got) == ["a", "d"] and got["d"].endswith("[EMAIL]")
     counts = [r["docs"] for r in report.collect()]
     assert counts == sorted(counts, reverse=True) and counts[0] == 8
+
+
+def test_crowded_buckets_lose_no_pair(spark):
+    from lodeworks.catalog import dedup as queries
+
+    gen = random.Random(8)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for i in range(90):
+        t = list(base)
+        for k in gen.sample(range(300), 4):
+            t[k] = f"x{i}.{k}"
+        texts.append(" ".join(t))
+    rows = list(enumerate(texts)) + [(200 + i, texts[i]) for i in range(3)] + [(300 + i, None) for i in range(70)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    sigs = {r["doc_id"]: r["sig"] for r in dedup.banded(d, "doc_id").where("band = 0").collect()}
+    ids = sorted(sigs)
+    every = [(a, b, sigs[a], sigs[b]) for a in ids for b in ids if a < b]
+    shared = {(a, b) for a, b, s, t in every if any(s[k : k + 4] == t[k : k + 4] for k in range(0, 128, 4))}
+    near = {(a, b) for a, b, s, t in every if sum(x == y for x, y in zip(s, t, strict=True)) >= 103}
+    sizes = [sum(1 for i in ids if sigs[i][k : k + 4] == sigs[j][k : k + 4]) for k in range(0, 128, 4) for j in ids[:90]]
+    assert max(sizes) > dedup.CROWD and 2415 < len(near) < len(shared)
+    for found, want in ((queries.lsh_candidates(d), shared), (queries.agreement(d), near)):
+        got = [(r["a"], r["b"]) for r in found.collect()]
+        assert set(got) == want and len(got) == len(want)
+    assert {r["doc_id"] for r in queries.minhash_dedup(d).collect()} == set(greedy_by_hand(sorted(near)))
