@@ -25,7 +25,10 @@ WINDOW_TOKENS = 128
 
 @query("x01_stage_bands", "ledger", sql="SELECT stage, phase, count(*) AS n FROM (SELECT CASE WHEN f < 5500 THEN 'foundation' WHEN f < 8500 THEN 'skill_build' ELSE 'anneal' END AS stage, CASE WHEN f < 4000 THEN 'early' WHEN f < 7000 THEN 'mid' WHEN f < 8500 THEN 'late' ELSE 'anneal' END AS phase FROM (SELECT least(ledger_offset * 10000 // 6000, 9999) AS f FROM ledger)) GROUP BY ALL")
 def stage_bands(e: DataFrame) -> DataFrame:
-    f = F.least(F.floor(F.col("ledger_offset") * 10000 / 6000), F.lit(9999))
+    """Events by stage and phase, the run being as long as the table's offsets go."""
+    whole = F.broadcast(e.agg((F.max("ledger_offset") + 1).alias("whole")))
+    e = e.select("ledger_offset").join(whole)
+    f = F.least(F.expr("ledger_offset * 10000 div whole"), F.lit(9999))
     stage = F.when(f < 5500, "foundation").when(f < 8500, "skill_build").otherwise("anneal")
     phase = F.when(f < 4000, "early").when(f < 7000, "mid").when(f < 8500, "late").otherwise("anneal")
     return e.groupBy(stage.alias("stage"), phase.alias("phase")).agg(F.count(F.lit(1)).alias("n"))

@@ -229,3 +229,10 @@ def test_crowded_buckets_lose_no_pair(spark):
         got = [(r["a"], r["b"]) for r in found.collect()]
         assert set(got) == want and len(got) == len(want)
     assert {r["doc_id"] for r in queries.minhash_dedup(d).collect()} == set(greedy_by_hand(sorted(near)))
+
+
+@pytest.mark.parametrize("n", [60, 6000, 20_000])
+def test_bands_cover_the_run_at_any_length(spark, n):
+    found = {(r["stage"], r["phase"]): r["n"] for r in execution.stage_bands(spark.range(n).withColumnRenamed("id", "ledger_offset")).collect()}
+    share = {("foundation", "early"): 40, ("foundation", "mid"): 15, ("skill_build", "mid"): 15, ("skill_build", "late"): 15, ("anneal", "anneal"): 15}
+    assert found == {k: v * n // 100 for k, v in share.items()}
