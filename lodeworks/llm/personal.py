@@ -32,9 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeworks.llm import forms
+from lodeworks.runtime import Stage
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-#: Name parts, listed and learned, that go to every worker.
+#: Name parts that go to every worker: of listed ones, the most there may be; learned ones beyond it are joined to the texts.
 MAX_PARTS = 200_000
 #: Share of a word's capitalised uses that must stand before a family name, to be a given name.
 GIVEN_SHARE = 0.05
@@ -121,6 +122,12 @@ class Parts:
         self.listed_given, self.listed_family, self.sure = given, family, sure
         self.hot = self.given | self.family
 
+    @classmethod
+    def held(cls, marks: dict[str, int]) -> Parts:
+        """The parts that a single text holds, from their marks."""
+        of = lambda bit: {w for w, m in marks.items() if m & bit}
+        return cls(of(1), of(2), of(4), of(8), of(16))
+
     def is_family(self, word: str) -> bool:
         return any(p in self.family for p in word.casefold().split("-"))
 
@@ -265,22 +272,77 @@ def _seen(known, listed):
     return run
 
 
-def learned(source: DataFrame, known, names: DataFrame, max_parts: int = MAX_PARTS) -> Parts:
-    """The listed name parts and those that the corpus adds, within ``max_parts``."""
+def _telling(seen: str, share: float):
+    return F.col(seen) >= F.greatest(F.lit(1), share * F.col("n"))
+
+
+def learned(source: DataFrame, known, names: DataFrame, max_parts: int = MAX_PARTS) -> tuple[DataFrame, Parts]:
+    """``source`` with a column ``marks``, and name parts: the listed ones and those that the corpus adds.
+
+    Up to ``max_parts`` words that tell of names, all parts are returned and ``marks`` is null.
+    Of more, the returned parts are the listed ones and ``marks`` has all parts that a text
+    holds, listed and learned, for ``Parts.held``. More listed parts than that are an error.
+    """
     spark = source.sparkSession
-    rows = names.where(F.col("name_part").isNotNull()).select(F.lower("name_part").alias("w"), "kind").distinct().limit(max_parts).collect()
+    rows = names.where(F.col("name_part").isNotNull()).select(F.lower("name_part").alias("w"), "kind").distinct().limit(max_parts + 1).collect()
+    if len(rows) > max_parts:
+        raise ValueError(f"more than {max_parts} listed name parts; raise max_parts")
     given, family = ({r["w"] for r in rows if r["kind"] == k} for k in ("given", "family"))
     listed = spark.sparkContext.broadcast((given, family))
     counts = source.mapInArrow(_seen(known, listed), _SEEN).groupBy("word").agg(F.sum("n").alias("n"), F.sum("before").alias("before"), F.sum("after").alias("after"))
-    telling = (F.col("before") >= F.greatest(F.lit(1), GIVEN_SHARE * F.col("n"))) | (F.col("after") >= F.greatest(F.lit(1), FAMILY_SHARE * F.col("n")))
-    own = F.broadcast(spark.createDataFrame([(w, True) for w in sorted(given)], "word string, listed boolean"))
-    met = counts.join(own, "word", "left").where(telling | F.coalesce("listed", F.lit(False))).orderBy(F.desc(F.col("before") + F.col("after")), "word").limit(max_parts).collect()
+    own = F.broadcast(spark.createDataFrame([(w, w in given, w in family) for w in sorted(given | family)], "word string, given boolean, family boolean"))
+    told = counts.join(own, "word", "left").fillna(False, ["given", "family"]).where(_telling("before", GIVEN_SHARE) | _telling("after", FAMILY_SHARE) | F.col("given"))
+    stage = Stage(spark, "parts")
+    met = stage.keep(told, "met")
+    if met.count() > max_parts:
+        return _marked(source, known, met, own), Parts(given, family, set(), set(), set())
+    met = met.collect()
+    stage.drop()
     ok = lambda w: w not in _NO_GIVEN and len(w) > 1 and w.upper() not in {t.upper() for t in TITLES}
     more_given = {r["word"] for r in met if r["before"] >= max(1, GIVEN_SHARE * r["n"]) and ok(r["word"]) and r["word"] not in family}
     more_family = {p for r in met if r["after"] >= max(1, FAMILY_SHARE * r["n"]) and ok(r["word"]) for p in r["word"].split("-") if p not in given and p not in more_given and len(p) > 3}
     share = {r["word"]: r["before"] / r["n"] for r in met}
     sure = {w for w in given | more_given if share.get(w, 1.0) >= 0.3}
-    return Parts(given, family, more_given, more_family, sure)
+    return source.withColumn("marks", F.lit(None).cast(_MARKS)), Parts(given, family, more_given, more_family, sure)
+
+
+_MARKS = "map<string,int>"
+
+
+def _asked(known):
+    """The words of each text, and their pieces between hyphens, as names are looked up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        readings = known.value
+        for batch in batches:
+            at, words = [], []
+            for a, t, f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                fixes, held = forms.plain(f), set()
+                for read in {forms.form(t, readings, fixes), mapped(t, readings, fixes)[0]}:
+                    held.update(w.casefold() for w in (_ANY_WORD if _one_case(read) else _CAPITAL).findall(read))
+                held.update([p for w in held for p in w.split("-")])
+                at += [a] * len(held)
+                words += held
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(words, pa.string())], names=["at", "word"])
+
+    return run
+
+
+def _marked(source: DataFrame, known, met: DataFrame, own: DataFrame) -> DataFrame:
+    """``source`` with the parts that each text holds, by joins; the rules are those of ``learned``."""
+    ok = ~F.col("word").isin(*_NO_GIVEN) & (F.length("word") > 1) & ~F.upper("word").isin(*(t.upper() for t in TITLES))
+    more = _telling("before", GIVEN_SHARE) & ok & ~F.col("family")
+    rated = met.select("word", more.alias("more_given"), ((F.col("given") | more) & (F.col("before") / F.col("n") >= 0.3)).alias("sure"))
+    pieces = met.where(_telling("after", FAMILY_SHARE) & ok).select(F.explode(F.split("word", "-")).alias("word")).where(F.length("word") > 3).distinct()
+    barred = own.where("given").select("word").union(rated.where("more_given").select("word"))
+    more_family = pieces.join(barred, "word", "left_anti").withColumn("more_family", F.lit(True))
+    every = rated.join(more_family, "word", "full").join(own, "word", "full").withColumn("sure", F.coalesce("sure", "given"))
+    bits = sum((F.coalesce(F.col(c).cast("int"), F.lit(0)) * bit for c, bit in (("given", 1), ("family", 2), ("more_given", 4), ("more_family", 8), ("sure", 16))), F.lit(0))
+    marks = every.select("word", bits.alias("mark")).where("mark > 0")
+    at = F.xxhash64("text")
+    asked = source.where(F.col("text").isNotNull()).select(at.alias("at"), "text", "fixes").mapInArrow(_asked(known), "at long, word string").distinct()
+    held = asked.join(marks, "word").groupBy("at").agg(F.map_from_entries(F.collect_list(F.struct("word", "mark"))).alias("marks"))
+    return source.withColumn("at", at).join(held, "at", "left").select("id", "text", "fixes", F.coalesce("marks", F.create_map().cast(_MARKS)).alias("marks"))
 
 
 # -- places in the text as stored --------------------------------------------------------------
@@ -408,11 +470,15 @@ def canonical(entity: str, kind: str) -> str:
 # -- operators -----------------------------------------------------------------------------------
 
 
-def _prepared(df: DataFrame, names: DataFrame, id: str, text: str, **kw):
+def _prepared(df: DataFrame, names: DataFrame, id: str, text: str, max_parts: int = MAX_PARTS, **kw):
     source, known = forms.prepared(df, id, text, **kw)
-    source = source.withColumn("id", F.col("id").cast("string"))
-    parts = df.sparkSession.sparkContext.broadcast(learned(source, known, names))
-    return source, known, parts
+    source, parts = learned(source.withColumn("id", F.col("id").cast("string")), known, names, max_parts)
+    return source, known, df.sparkSession.sparkContext.broadcast(parts)
+
+
+def _own(parts: Parts, marks) -> Parts:
+    """The parts to read a text with, ``marks`` being a map as Arrow hands it over."""
+    return parts if marks is None else Parts.held(dict(marks))
 
 
 def kinds_found(df: DataFrame, names: DataFrame, id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
@@ -423,10 +489,10 @@ def kinds_found(df: DataFrame, names: DataFrame, id: str = "doc_id", text: str =
         readings, names_ = known.value, parts.value
         for batch in batches:
             ids, kinds = [], []
-            for i, t, f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i, t, f, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if i is None or forms.blank(t):
                     continue
-                for kind in {k for _, _, k in findings(forms.form(t, readings, forms.plain(f)), names_)}:
+                for kind in {k for _, _, k in findings(forms.form(t, readings, forms.plain(f)), _own(names_, m))}:
                     ids.append(i)
                     kinds.append(kind)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(kinds, pa.string())], names=["id", "kind"])
@@ -443,14 +509,14 @@ def masked(df: DataFrame, names: DataFrame, id: str = "doc_id", text: str = "tex
         made = Surrogates(key, names_)
         for batch in batches:
             plain, other, counts = [], [], []
-            for t, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for t, f, m in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
                 if t is None:
                     plain.append(None)
                     other.append(None)
                     counts.append([])
                     continue
                 end, a, b, n = 0, [], [], Counter()
-                for start, stop, kind, entity in located(t, names_, readings, forms.plain(f)):
+                for start, stop, kind, entity in located(t, _own(names_, m), readings, forms.plain(f)):
                     a += [t[end:start], f"[{kind.upper()}]"]
                     b += [t[end:start], made.of(canonical(entity, kind), kind)]
                     end = stop
@@ -475,9 +541,9 @@ def entities(df: DataFrame, names: DataFrame, id: str = "doc_id", text: str = "t
         made = Surrogates(key, names_)
         for batch in batches:
             rows: Counter = Counter()
-            for t, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for t, f, m in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
                 if t:
-                    rows.update((k, canonical(e, k)) for _, _, k, e in located(t, names_, readings, forms.plain(f)))
+                    rows.update((k, canonical(e, k)) for _, _, k, e in located(t, _own(names_, m), readings, forms.plain(f)))
             keys = list(rows)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k for k, _ in keys], pa.string()), pa.array([e for _, e in keys], pa.string()), pa.array([made.of(e, k) for k, e in keys], pa.string()), pa.array([rows[x] for x in keys], pa.int64())],

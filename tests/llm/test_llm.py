@@ -212,6 +212,21 @@ def test_masks_keep_the_rest(spark):
     assert personal.kinds_found(table(spark, []), names.limit(0)).count() == 0
 
 
+def test_more_parts_than_go_to_a_worker(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    odd = [f"Q{a}{b}ov" for a in letters[:4] for b in letters[:6]]
+    rows = [(f"g{i}", f"so {w} Brenokov said") for i, w in enumerate(odd)] + [(f"f{i}", f"so Anika {w}elm-Hartwig said") for i, w in enumerate(odd)] + [(f"h{i}", f"by {w} Hartwig today, and ｂy {odd[i - 1]} {w}elm") for i, w in enumerate(odd)]
+    rows += [("p", "ANIKA BRENOKOV | X"), ("q", "anika brenokov was here"), ("r", "Dr. Yarolin-Brenokov left"), ("s", None), ("t", ""), ("u", "Grace said Grace may"), *rows[:2]]
+    names = spark.createDataFrame(NAMES, "part_id long, name_part string, kind string")
+    d, few = table(spark, rows), len({(n.lower(), k) for _, n, k in NAMES})
+    sort = lambda df: sorted(map(str, df.collect()))
+    for operator in (personal.kinds_found, personal.masked, personal.entities):
+        assert sort(operator(d, names, max_parts=few)) == sort(operator(d, names))
+    assert {(f"g{i}", "name") for i in range(len(odd))} <= set(pairs(personal.kinds_found(d, names, max_parts=few)))
+    with pytest.raises(ValueError):
+        personal.kinds_found(d, names, max_parts=few - 1)
+
+
 def test_cipher_is_one_to_one():
     made = personal.Surrogates("k", personal.Parts(set(), set(), set(), set(), set()))
     assert len({made.cipher(f"{i:04d}") for i in range(10_000)}) == 10_000
