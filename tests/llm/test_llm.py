@@ -1,11 +1,13 @@
 import random
+import re
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodeworks.llm import encoding, forms, leakage, mixing, nearcopies, packing, personal, residue
+from lodeworks.llm import encoding, forms, leakage, mixing, nearcopies, packing, personal, residue, residue_texts
 from lodeworks.queries import QUERIES  # noqa: F401
 
 TEXTS = "doc_id string, text string, key string, id string, fixes string"
@@ -254,3 +256,26 @@ def test_residue_against_content(spark):
     kept = residue.without_residue(d)
     assert kept.count() == len(content) + len(odd) and kept.columns == d.columns
     assert residue.residue_ids(d.limit(0)).count() == 0
+
+
+def test_rows_of_one_id_are_judged_apart(spark):
+    rows = [(1, "Please enable JavaScript to view this page.", "a"), (1, "The council met at the bridge and the meeting went on until the evening.", "b"), (None, "HTTP Error 503. The service is unavailable.", "c"), (2, None, "d")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, residue string")
+    assert sorted(r["residue"] for r in residue.without_residue(d).collect()) == ["b", "d"]
+    assert {r["doc_id"] for r in residue.residue_ids(d).collect()} == {1, None}
+
+
+def test_the_sample_is_bounded_in_characters(spark):
+    d = spark.createDataFrame([(i, f"river {i} " * 50) for i in range(40)] + [(99, "404 Not Found nginx/1.18.0")], "doc_id long, text string")
+    for chars in (0, 1000, 10**7):
+        assert [r["doc_id"] for r in residue.residue_ids(d, chars=chars, sample=10).collect()] == [99]
+
+
+def test_no_training_phrase_is_in_the_test_tables():
+    at = Path("/root/testdata/sf0.01/documents.parquet")
+    if not at.exists():
+        pytest.skip("no test tables here")
+    texts = "\0".join(r[0] for r in duckdb.sql(f"SELECT text FROM '{at}' WHERE text IS NOT NULL").fetchall())
+    lists = (residue_texts.FILLER, residue_texts.NOTICE, residue_texts.MARKUP, residue_texts.NAVIGATION)
+    phrases = {x for part in lists for line in part.split("\n") for x in (line, *re.split(r"(?<=[.!?।])\s+", line)) if len(x) > 12}
+    assert len(phrases) > 300 and not [p for p in phrases if p in texts]
