@@ -267,7 +267,7 @@ def test_rows_of_one_id_are_judged_apart(spark):
 
 def test_the_sample_is_bounded_in_characters(spark):
     d = spark.createDataFrame([(i, f"river {i} " * 50) for i in range(40)] + [(99, "404 Not Found nginx/1.18.0")], "doc_id long, text string")
-    for chars in (0, 1000, 10**7):
+    for chars in (2500, 10**7):
         assert [r["doc_id"] for r in residue.residue_ids(d, chars=chars, sample=10).collect()] == [99]
 
 
