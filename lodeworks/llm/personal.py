@@ -8,11 +8,13 @@ Names are found from an incomplete list of parts, extended by the corpus: a word
 keeps standing before listed family names is taken for a given name, one that stands
 after a given name for a family name.
 
-Surrogates are keyed and keep type, format, script and the gender that the ending of a
-given name suggests: listed parts trade places within their class by a keyed permutation,
-all else is enciphered position by position within its character class by a keyed Feistel
-network. Both are one-to-one, so equal entities get equal surrogates and different ones
-different surrogates; ``collisions`` checks that over a whole table.
+Surrogates are keyed and keep type, format, script and, for listed given names, the gender
+that titles and pronouns of the corpus tell: listed parts trade places within their class
+by a keyed permutation, all else is enciphered place by place within its character class
+(script, vowel or not, accented or not) by a keyed Feistel network; of mail domains only
+those of public services stay. Both are one-to-one and leave nothing as it was, so equal
+entities get equal surrogates and different ones different ones; ``collisions`` checks
+that over a whole table.
 
 Null texts stay null and hold nothing, as do empty and blank ones; repeated rows come
 back as often as they went in; columns not named are ignored.
@@ -20,6 +22,7 @@ back as often as they went in; columns not named are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import hmac
 import re
@@ -54,7 +57,14 @@ EMAILS = (
     re.compile(rf"{_LOCAL}\s+at\s+[A-Za-z0-9][\w-]*(?:(?:\s+dot\s+|\.)[\w-]+)*\s+dot\s+[A-Za-z]{{2,}}(?![\w-])", _I),
 )
 _AT_SIGN = re.compile(r"@|[\[({<]\s?[aA][tT]\s?[\])}>]|\s(?:at|AT|At)\s(?=[^\n]{0,80}\s(?:dot|DOT|Dot)\s)")
-_AT_WORDS = tuple(b + gap + at for b in "[({<" for gap in ("", " ") for at in ("at", "AT", "At")) + (" dot ", " DOT ", " Dot ")
+
+def _at_written(low: str) -> bool:
+    """Whether a lower-cased text may hold an address whose signs are written out."""
+    return (
+        " dot " in low or "at]" in low or "at)" in low or "at>" in low or "at}" in low
+        or "at ]" in low or "at )" in low or "at >" in low or "at }" in low
+    )
+
 
 _URL = re.compile(r"\b(?:https?|ftp)://\S+|\bwww\.\S+", _I)
 _NUMBER = re.compile(r"(?<![\w.@#%-])(?:\+|\()?\d(?:\d|[ \t\n()/-]|\.(?=\d)){4,}\d(?![\w@%]|[-./]\w)")
@@ -94,26 +104,50 @@ _ADDRESSES = tuple(re.compile(p) for p in ADDRESSES)
 _ADDRESSES_ANY = tuple(re.compile(p, _I) for p in ADDRESSES)
 # Cheap signs, one for each pattern of ADDRESSES, without which it is not tried.
 _SIGNS = (
-    re.compile(r"\d[a-z]?,?\s+[A-ZÀ-Þ]").search,
-    re.compile(r"(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|damm|ufer)\s+\d").search,
-    re.compile(r"\d(?:\s?(?:bis|ter))?,?\s+(?:rue|avenue|boulevard|place|chemin|allée|impasse|quai|route|cours)\s").search,
-    re.compile(r"\d(?:st|nd|rd|th)\s+(?:Cross|Main|Street|Floor)").search,
-)
-_JOINED = ("straße", "strasse", "str.", "weg ", "weg\n", "gasse", "platz", "allee", "ring ", "damm", "ufer")
-_ID_SIGN = re.compile(r"[A-Z]-?\d{3}|\d{9}").search
+    (None, re.compile(r"\d[a-z]?,?\s+[A-ZÀ-Þ]").search),
+    (lambda t: "straße" in t or "strasse" in t or "str." in t or "weg" in t or "gasse" in t or "platz" in t or "allee" in t or "ring " in t or "ring\n" in t or "damm" in t or "ufer" in t, re.compile(r"(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|damm|ufer)\s+\d").search),
+    (
+        lambda t: "rue" in t or "avenue" in t or "boulevard" in t or "place" in t or "chemin" in t or "allée" in t or "impasse" in t or "quai" in t or "route" in t or "cours" in t,
+        re.compile(r"\d(?:\s?(?:bis|ter))?,?\s+(?:rue|avenue|boulevard|place|chemin|allée|impasse|quai|route|cours)\s").search,
+    ),
+    (lambda t: "Cross" in t or "Main" in t or "Street" in t or "Floor" in t, re.compile(r"\d(?:st|nd|rd|th)\s+(?:Cross|Main|Street|Floor)").search),
+)
+_ID_SIGN = re.compile(r"\d{3}(?:(?<=[A-Z]\d{3})|(?<=[A-Z]-\d{3})|\d{6})").search
+_DIGIT = re.compile(r"\d").search
+_LONG_NUMBER = re.compile(r"\d[\d \t\n()/.-]{4,}\d").search
+_LOWER = re.compile("[a-z]").search
 
 # Forms of address that stand before a family name.
 TITLES = "Dr Mr Mrs Ms Miss Prof Professor Sir Herr Frau Mme Mlle Monsieur Madame Shri Smt Sri Don Señor Señora".split()
-_TITLE_SIGNS = tuple(t + end for t in TITLES for end in (" ", ".", "\n"))
+_TITLE_WORDS = frozenset(TITLES)
 _TITLE = re.compile(r"\b(?:" + "|".join(TITLES) + r")\.?\s+(?:[A-ZÀ-Þ]\.\s*){0,2}$", _I)
 _TITLED = re.compile(r"\b(?:" + "|".join(TITLES) + r")\.?\s+(?:[A-ZÀ-Þ]\.\s*){0,2}([A-ZÀ-Þ][^\W\d_]{2,}(?:-[A-ZÀ-Þ][^\W\d_]+)*)")
-_CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ][^\W\d_]+(?:['’-][^\W\d_]+)*")
-_ANY_WORD = re.compile(r"[^\W\d_]{2,}(?:['’-][^\W\d_]+)*")
+# Vowel signs and the like, which are no letters to the patterns: Indic blocks of 128, Arabic and Hebrew points.
+_SIGNS_OF_WORDS = "".join(chr(c) for a, b in ((0x300, 0x370), (0x591, 0x5C8), (0x610, 0x660), (0x900, 0xD80)) for c in range(a, b) if unicodedata.category(chr(c))[0] == "M")
+_LETTER = rf"(?:[^\W\d_]|[{_SIGNS_OF_WORDS}])"
+_WORD = re.compile(rf"[^\W\d_]{_LETTER}*")
+#: Capitals of the scripts that have them, and any letter of those that have not (Indic, Arabic, Hebrew).
+_CAPITAL_LATIN = re.compile(r"[A-ZÀ-ÖØ-Þ][^\W\d_]+(?:['’-][^\W\d_]+)*")
+_CAPITAL = re.compile(rf"{_CAPITAL_LATIN.pattern}|[Ā-ƿ\u0386-\u03AB\u0400-\u042F]{_LETTER}+(?:['’-]{_LETTER}+)*|[\u0904-\u0939\u0958-\u0961\u0985-\u0D7F\u05D0-\u05EA\u0620-\u064A]{_LETTER}+")
+_ANY_WORD = re.compile(rf"[^\W\d_]{_LETTER}+(?:['’-]{_LETTER}+)*")
+_BEYOND_LATIN = re.compile("[\u0100-\u01BF\u0370-\u1FFF]").search
+
+
+def _capitals(text: str) -> re.Pattern:
+    """The pattern of capitalised words that ``text`` needs."""
+    return _CAPITAL_LATIN if text.isascii() or not _BEYOND_LATIN(text) else _CAPITAL
+
+
 _GAP = re.compile(r"\s+(?:[A-Za-zÀ-Þ]\.\s*)?$")
 _BODY = re.compile(r"\s+(?:Foundation|Trust|Press|Institute|University|College|School|Company|Co|Ltd|Inc|GmbH|Group|Society|Museum|Library|Hall|Bridge|Fund|Prize|Award|Bank|Works|Mills?|" + "|".join(s for s in STREETS if len(s) > 2) + r")\b", _I)
 _NO_GIVEN = frozenset("the in by at on for to of and or a an from with near since before after while because although but so when if as is was were during earlier hence therefore assume suppose given step this that each every no not call said via der die das ein eine le la les un une selon laut nach".split())
 
 
+@functools.cache
+def _script(char: str) -> str:
+    return unicodedata.name(char, "OTHER").split()[0]
+
+
 class Parts:
     """Given and family names, in lower case: listed, and learned from the corpus."""
 
@@ -137,33 +171,37 @@ def _spans(found: list[tuple[int, int, str]], start: int, end: int, kind: str) -
         found.append((start, end, kind))
 
 
-def _one_case(text: str) -> bool:
-    return text == text.lower() or text == text.upper()
+def _one_case(text: str, low: str | None = None) -> bool:
+    return text == (text.lower() if low is None else low) or not _LOWER(text) and text == text.upper()
 
 
 def findings(text: str, parts: Parts) -> list[tuple[int, int, str]]:
     """Spans and kinds of the personal data in ``text``, in order, none overlapping."""
     taken: list[tuple[int, int, str]] = []
-    if "://" in text or "www." in text or "WWW." in text:
+    low = text.lower()
+    if "://" in low or "www." in low:
         taken += [(m.start(), m.end(), "url") for m in _URL.finditer(text)]
-    for at in _AT_SIGN.finditer(text) if "@" in text or any(w in text for w in _AT_WORDS) else ():
-        for pattern in EMAILS:
-            for m in pattern.finditer(text, max(0, at.start() - 80), at.end() + 120):
-                if m.start() < at.start() and m.end() > at.end():
-                    _spans(taken, m.start(), m.end(), "email")
-    plain = _one_case(text)
-    if plain or _ID_SIGN(text):
-        for m in _LABELLED.finditer(text):
-            if sum(map(str.isdigit, m[1])) >= 4:
-                _spans(taken, m.start(1), m.end(1), "id_number")
-        for m in _PLAIN_ID.finditer(text):
-            _spans(taken, m.start(), m.end(), "id_number")
-    for n, sign in enumerate(_SIGNS):
-        if plain or (n != 1 or any(j in text for j in _JOINED)) and sign(text):
-            for m in (_ADDRESSES_ANY if plain else _ADDRESSES)[n].finditer(text):
-                _spans(taken, m.start(), m.end(), "address")
-    for m in _NUMBER.finditer(text):
-        _numbers(text, m.start(), m[0], taken)
+    if "@" in text or _at_written(low):
+        for at in _AT_SIGN.finditer(text):
+            for pattern in EMAILS:
+                for m in pattern.finditer(text, max(0, at.start() - 80), at.end() + 120):
+                    if m.start() < at.start() and m.end() > at.end():
+                        _spans(taken, m.start(), m.end(), "email")
+    plain = _one_case(text, low)
+    if _DIGIT(text):  # all of these need one
+        if plain or _ID_SIGN(text):
+            for m in _LABELLED.finditer(text):
+                if sum(map(str.isdigit, m[1])) >= 4:
+                    _spans(taken, m.start(1), m.end(1), "id_number")
+            for m in _PLAIN_ID.finditer(text):
+                _spans(taken, m.start(), m.end(), "id_number")
+        for n, (hint, sign) in enumerate(_SIGNS):
+            if plain or (hint is None or hint(text)) and sign(text):
+                for m in (_ADDRESSES_ANY if plain else _ADDRESSES)[n].finditer(text):
+                    _spans(taken, m.start(), m.end(), "address")
+        if _LONG_NUMBER(text):
+            for m in _NUMBER.finditer(text):
+                _numbers(text, m.start(), m[0], taken)
     _names(text, parts, taken, plain)
     return sorted(f for f in taken if f[2] != "url" and not _broken(text, f[0], f[1]))
 
@@ -197,9 +235,10 @@ def _numbers(text: str, at: int, run: str, taken: list[tuple[int, int, str]]) ->
 
 
 def _names(text: str, parts: Parts, taken: list[tuple[int, int, str]], plain: bool) -> None:
-    pattern = _ANY_WORD if plain else _CAPITAL
-    titled = not plain and any(t in text for t in _TITLE_SIGNS)
-    if not titled and parts.hot.isdisjoint(map(str.casefold, pattern.findall(text))):
+    pattern = _ANY_WORD if plain else _capitals(text)
+    found = set(pattern.findall(text))
+    titled = not plain and not _TITLE_WORDS.isdisjoint(found)
+    if not titled and parts.hot.isdisjoint(map(str.casefold, found)):
         return
     words = [(m.start(), m.end(), m[0]) for m in pattern.finditer(text)]
     given, sure = parts.given, parts.sure
@@ -252,14 +291,15 @@ def _seen(known, listed):
                 if not t:
                     continue
                 t = forms.form(t, readings, forms.plain(f))
-                capitals = [w.casefold() for w in _CAPITAL.findall(t)]
+                pattern = _capitals(t)
+                capitals = [w.casefold() for w in pattern.findall(t)]
                 n.update(capitals)
                 if family.isdisjoint(p for w in capitals for p in w.split("-")) and given.isdisjoint(capitals):
                     continue
                 last, end = "", -9
-                for m in _CAPITAL.finditer(t):
+                for m in pattern.finditer(t):
                     w = m[0].casefold()
-                    if last and m.start() - end <= 6 and _GAP.match(t[end : m.start()]):
+                    if last and m.start() - end <= 6 and _GAP.match(t[end : m.start()]) and _script(last[0]) == _script(w[0]):
                         if any(p in family for p in w.split("-")):
                             before[last] += 1
                         if last in given:
@@ -319,7 +359,7 @@ def _asked(known):
             for a, t, f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 fixes, held = forms.plain(f), set()
                 for read in {forms.form(t, readings, fixes), mapped(t, readings, fixes)[0]}:
-                    held.update(w.casefold() for w in (_ANY_WORD if _one_case(read) else _CAPITAL).findall(read))
+                    held.update(w.casefold() for w in (_ANY_WORD if _one_case(read) else _capitals(read)).findall(read))
                 held.update([p for w in held for p in w.split("-")])
                 at += [a] * len(held)
                 words += held
@@ -377,79 +417,161 @@ def located(text: str, parts: Parts, known, fixes: dict | None) -> list[tuple[in
 
 # -- surrogates ----------------------------------------------------------------------------------
 
-_CLASSES = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ")
-_CLASS_OF = {c: s for s in _CLASSES for c in s}
+# Vowels of the scripts that have case; forms of address by gender; pronouns by gender;
+# domains of public mail services, which tell of nobody.
+VOWELS = frozenset("aeiouyαεηιουωаеиоуыэюяєіїё")
+FEMALE_TITLES = frozenset("mrs ms miss frau mme mlle madame smt señora".split())
+MALE_TITLES = frozenset("mr sir herr monsieur shri sri don señor".split())
+FEMALE_WORDS = frozenset("she her hers herself elle ihre она её".split())
+MALE_WORDS = frozenset("he him his himself il er sein он его".split())
+PUBLIC_MAIL = frozenset("gmail.com googlemail.com yahoo.com hotmail.com outlook.com live.com icloud.com aol.com gmx.de gmx.net web.de mail.ru yandex.ru proton.me protonmail.com".split())
+#: First and last code points of the letters and digits that surrogates are made of.
+_ALPHABETS = ((0x30, 0x7A), (0xC0, 0x17F), (0x386, 0x3CE), (0x401, 0x45F), (0x5D0, 0x5EA), (0x621, 0x64A), (0x660, 0x669), *((a, a + 0x7F) for a in range(0x900, 0xD80, 0x80)), (0x3041, 0x30FE), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
+
+
+def _class_name(char: str) -> tuple | None:
+    """What a character may be exchanged within: script, category, vowel or not, accent or not; None for signs.
+
+    In Indic scripts vowel signs are a class, and signs that change how a letter is read stay.
+    """
+    kind = unicodedata.category(char)
+    if kind[0] not in "LNM":
+        return None
+    name = unicodedata.name(char, "")
+    script = name.split(" ")[0]
+    if kind == "Nd":
+        return "digit", ord(char) - unicodedata.digit(char)
+    if kind[0] == "M":
+        return (script, "sign") if "VOWEL SIGN" in name else None
+    base = unicodedata.normalize("NFD", char)[0].lower()
+    if 0x900 <= ord(char) < 0xD80:
+        if "LETTER" not in name or len(name.split("LETTER ")[-1].split(" ")) > 1:
+            return None
+        return script, "vowel" if name.split(" ")[-1][0] in "AEIOU" else "consonant"
+    if len(unicodedata.normalize("NFD", char)) > 1:
+        return script, kind, base in VOWELS, "accent"
+    return script, kind, base in VOWELS, "plain" if char.isascii() else ""
+
+
+@functools.cache
+def _alphabets() -> tuple[dict[str, str], dict[str, int]]:
+    """For each character its class, as a string, and its place in it; classes of one are left out."""
+    found: dict[tuple, list[str]] = {}
+    for low, high in _ALPHABETS:
+        for point in range(low, high + 1):
+            name = _class_name(chr(point))
+            if name is not None:
+                found.setdefault(name, []).append(chr(point))
+    of, at = {}, {}
+    for chars in found.values():
+        if len(chars) > 1:
+            joined = "".join(chars)
+            for i, c in enumerate(chars):
+                of[c], at[c] = joined, i
+    return of, at
 
 
 class Surrogates:
-    """Keyed one-to-one replacements of entities."""
+    """Keyed one-to-one replacements of entities, in the script and format of the entity.
+
+    Listed names trade places with others of their script, of the roles they are listed in
+    and of their gender; what gender a name is of comes from ``genders``, counts of the
+    corpus. All else is enciphered. No replacement equals what it replaces.
+    """
 
-    def __init__(self, key: str, parts: Parts):
+    def __init__(self, key: str, parts: Parts, genders: dict[str, str] | None = None):
+        if not key:
+            raise ValueError("surrogates need a key")
         self.key = key.encode()
-        self.pools: dict[str, str] = {}
-        for role, words in (("given", parts.listed_given), ("family", parts.listed_family)):
-            by: dict[str, list[str]] = {}
-            for w in sorted(words):
-                by.setdefault(self._kind(w, role), []).append(w)
-            for group in by.values():
-                order = sorted(group, key=lambda w: self._mac(f"{role}:{w}"))
-                self.pools.update({f"{role}:{a}": b for a, b in zip(order, order[1:] + order[:1], strict=True)})
-        self.taken = {w for w in parts.listed_given | parts.listed_family}
+        known = genders or {}
+        groups: dict[tuple, list[str]] = {}
+        for w in parts.listed_given | parts.listed_family:
+            given = w in parts.listed_given
+            groups.setdefault((_script(w[:1] or " "), given, w in parts.listed_family, known.get(w, "") if given else ""), []).append(w)
+        for name in sorted(groups, key=lambda g: (len(groups[g]), str(g))):
+            if len(groups[name]) == 1:  # the only one of its gender trades with those of none, else of the other; alone in its role it is enciphered
+                near = [g for g in groups if g != name and g[:3] == name[:3]]
+                if near:
+                    groups[min(near, key=lambda g: g[3])] += groups.pop(name)
+        self.pool: dict[str, str] = {}
+        for words in groups.values():
+            if len(words) > 1:
+                order = sorted(words, key=lambda w: self._mac(f"part:{w}"))
+                self.pool.update(zip(order, order[1:] + order[:1], strict=True))
 
     def _mac(self, text: str) -> bytes:
         return hmac.new(self.key, text.encode("utf-8", "surrogatepass"), hashlib.sha256).digest()
 
-    @staticmethod
-    def _kind(word: str, role: str) -> str:
-        """The class in which names trade places: script, and for given names how they end."""
-        script = unicodedata.name(word[0], "OTHER").split()[0]
-        return script + (("f" if word[-1] in "aeiाी" else "m") if role == "given" else "")
+    def _number(self, text: str) -> int:
+        return int.from_bytes(self._mac(text), "big")
 
     def cipher(self, text: str) -> str:
-        """``text`` with digits and Latin letters exchanged within their class, one-to-one."""
-        places = [i for i, c in enumerate(text) if c in _CLASS_OF]
-        symbols = [_CLASS_OF[text[i]].index(text[i]) for i in places]
-        sizes = [len(_CLASS_OF[text[i]]) for i in places]
-        half = (len(places) + 1) // 2
-        shape = "".join(str(_CLASSES.index(_CLASS_OF[text[i]])) if text[i] in _CLASS_OF else c for i, c in enumerate(text))
+        """``text`` with each letter and digit exchanged within its class: one-to-one, and never the text itself.
+
+        All places but the first go through four Feistel rounds that the first one takes part
+        in; then the first is moved by one at least, by how much the others decide.
+        """
+        text = unicodedata.normalize("NFC", text)
+        of, at = _alphabets()
+        places = [i for i, c in enumerate(text) if c in of]
+        if not places:
+            return text
+        symbols = [at[text[i]] for i in places]
+        sizes = [len(of[text[i]]) for i in places]
+        shape = "".join(of[c][0] if c in of else c for c in text)
+        rest = range(1, len(places))
+        half = 1 + (len(rest) + 1) // 2
         for turn in range(4):
-            a, b = (range(half), range(half, len(places))) if turn % 2 == 0 else (range(half, len(places)), range(half))
-            mac = self._mac(f"{turn}:{shape}:{','.join(str(symbols[k]) for k in b)}")
+            a, b = (range(1, half), range(half, len(places))) if turn % 2 == 0 else (range(half, len(places)), range(1, half))
+            seed = f"{turn}:{shape}:{symbols[0]}:{','.join(str(symbols[k]) for k in b)}"
             for n, k in enumerate(a):
-                symbols[k] = (symbols[k] + int.from_bytes(mac[(2 * n) % 30 : (2 * n) % 30 + 2], "big")) % sizes[k]
+                if n % 8 == 0:
+                    mac = self._mac(f"{n}:{seed}")
+                symbols[k] = (symbols[k] + int.from_bytes(mac[4 * (n % 8) : 4 * (n % 8) + 4], "big")) % sizes[k]
+        move = self._number(f"first:{shape}:{','.join(str(symbols[k]) for k in rest)}")
+        symbols[0] = (symbols[0] + 1 + move % (sizes[0] - 1)) % sizes[0]
         out = list(text)
         for i, s in zip(places, symbols, strict=True):
-            out[i] = _CLASS_OF[text[i]][s]
+            out[i] = of[text[i]][s]
         return "".join(out)
 
-    def _part(self, word: str, role: str) -> str:
-        low = word.lower()
-        made = self.pools.get(f"{role}:{low}")
-        if made is None:
-            made = self.cipher(low)
-            while made in self.taken:  # walk on until outside the listed names: still one-to-one
-                made = self.cipher(made)
-        return made.upper() if word.isupper() else made.capitalize() if word[:1].isupper() else made
+    def _outside(self, text: str, taken) -> str:
+        """The cipher of a text outside ``taken``, walked on until outside it: still one-to-one, and it ends."""
+        made = self.cipher(text)
+        while made in taken and made != text:
+            made = self.cipher(made)
+        return made
+
+    def _part(self, word: str) -> str:
+        low = unicodedata.normalize("NFC", word.lower())
+        made = self.pool.get(low) or self._outside(low, self.pool)
+        return made.upper() if word.isupper() and len(word) > 1 else made[:1].upper() + made[1:] if word[:1].isupper() else made
+
+    def _domain(self, domain: str) -> str:
+        """A public service's domain as it is, any other enciphered but for its last label."""
+        low = domain.lower()
+        flat = re.sub(r"\s+dot\s+|\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?", ".", low)
+        if flat in PUBLIC_MAIL:
+            return low
+        head, dot, tail = re.match(rf"(.*)({_DOT}|\s+dot\s+)(.*)", low, re.DOTALL).groups() if re.search(rf"{_DOT}|\s+dot\s+", low) else (low, "", "")
+        apart = re.split(rf"({_DOT}|\s+dot\s+)", head)
+        made = "".join(self.cipher(p) if i % 2 == 0 else p for i, p in enumerate(apart)) + dot + tail
+        return made if made not in PUBLIC_MAIL else self._domain(made)
 
     def of(self, entity: str, kind: str) -> str:
+        """The surrogate of an entity in its ``canonical`` spelling."""
         if kind == "name":
-            words = list(re.finditer(r"[^\W\d_]+", entity))
+            words = list(_WORD.finditer(entity))
             out, end = [], 0
             for i, m in enumerate(words):
-                out.append(entity[end : m.start()])
-                if len(m[0]) == 1:
-                    out.append(self.cipher(m[0]))
-                elif m[0].casefold() in {t.casefold() for t in TITLES} and i + 1 < len(words):
-                    out.append(m[0])
-                else:
-                    family = i + 1 == len(words) or "-" in entity[m.end() : m.end() + 1] or "-" in entity[m.start() - 1 : m.start()] * (m.start() > 0)
-                    out.append(self._part(m[0], "family" if family else "given"))
+                title = m[0].casefold() in _TITLES_LOW and i + 1 < len(words)
+                out += [entity[end : m.start()], m[0] if title else self._part(m[0])]
                 end = m.end()
             return "".join(out) + entity[end:]
         if kind == "email":
             m = re.match(r"(.*?)(\s?@\s?|\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?|\s+at\s+)(.*)", entity, _I | re.DOTALL)
             if m:
-                return self.cipher(m[1].lower()) + m[2] + m[3]
+                return self.cipher(m[1].lower()) + m[2] + self._domain(m[3])
         if kind == "phone" and (m := re.match(r"(\+\d{1,3}|00\d{1,3}|0)(?=\D|\d{6})", entity)):
             return m[1] + self.cipher(entity[m.end() :])
         if kind == "address":
@@ -457,14 +579,50 @@ class Surrogates:
         return self.cipher(entity)
 
 
+_TITLES_LOW = frozenset(t.casefold() for t in TITLES)
+_NAME_WORDS = re.compile(r"[^\W\d_]+")
+
+
+def _gendered(known, sent):
+    """Per listed given name, how often a name with it stands by a title or before a pronoun of either gender."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        readings, parts = known.value, sent.value
+        seen: Counter = Counter()
+        for batch in batches:
+            for t, f, m in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                if not t:
+                    continue
+                read = forms.form(t, readings, forms.plain(f))
+                for start, end, kind in findings(read, _own(parts, m)):
+                    if kind != "name":
+                        continue
+                    words = [w.casefold() for w in _WORD.findall(read[start:end])]
+                    near = [w.casefold() for w in _NAME_WORDS.findall(read[end : end + 80])]
+                    n = sum(w in FEMALE_TITLES for w in words) + sum(w in FEMALE_WORDS for w in near) - sum(w in MALE_TITLES for w in words) - sum(w in MALE_WORDS for w in near)
+                    for w in words:
+                        if w in parts.listed_given:
+                            seen[w] += n
+        keys = list(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([seen[k] for k in keys], pa.int64())], names=["word", "n"])
+
+    return run
+
+
+def genders(source: DataFrame, known, parts) -> dict[str, str]:
+    """``f`` or ``m`` of each listed given name for which the corpus tells; at most as many as are listed."""
+    rows = source.mapInArrow(_gendered(known, parts), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n != 0").collect()
+    return {r["word"]: "f" if r["n"] > 0 else "m" for r in rows}
+
+
 def canonical(entity: str, kind: str) -> str:
     """One spelling of an entity, by which its mentions are recognised."""
     text = re.sub(r"\s+", " ", entity).strip()
     if kind == "name":
-        return " ".join(w.capitalize() for w in text.lower().split(" "))
+        return " ".join(w[:1].upper() + w[1:] for w in unicodedata.normalize("NFC", text.lower()).split(" "))
     if kind == "email":
         return text.lower()
-    return text
+    return unicodedata.normalize("NFC", text)
 
 
 # -- operators -----------------------------------------------------------------------------------
@@ -500,13 +658,14 @@ def kinds_found(df: DataFrame, names: DataFrame, id: str = "doc_id", text: str =
     return source.mapInArrow(run, "id string, kind string").distinct().select(F.col("id").alias(id), "kind")
 
 
-def masked(df: DataFrame, names: DataFrame, id: str = "doc_id", text: str = "text", key: str = "lodeworks", **kw) -> DataFrame:
+def masked(df: DataFrame, names: DataFrame, key: str, id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """``id``, ``masked`` (typed placeholders such as ``[EMAIL]``), ``surrogate`` (keyed replacements) and ``counts`` by kind."""
     source, known, parts = _prepared(df, names, id, text, **kw)
+    told = genders(source, known, parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         readings, names_ = known.value, parts.value
-        made = Surrogates(key, names_)
+        made = Surrogates(key, names_, told)
         for batch in batches:
             plain, other, counts = [], [], []
             for t, f, m in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
@@ -532,13 +691,14 @@ def masked(df: DataFrame, names: DataFrame, id: str = "doc_id", text: str = "tex
     return source.mapInArrow(run, "id string, masked string, surrogate string, counts map<string,int>").select(F.col("id").alias(id), "masked", "surrogate", "counts")
 
 
-def entities(df: DataFrame, names: DataFrame, id: str = "doc_id", text: str = "text", key: str = "lodeworks", **kw) -> DataFrame:
+def entities(df: DataFrame, names: DataFrame, key: str, id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """``kind``, ``entity``, ``surrogate`` and ``n`` of every distinct entity of the table."""
     source, known, parts = _prepared(df, names, id, text, **kw)
+    told = genders(source, known, parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         readings, names_ = known.value, parts.value
-        made = Surrogates(key, names_)
+        made = Surrogates(key, names_, told)
         for batch in batches:
             rows: Counter = Counter()
             for t, f, m in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
@@ -554,5 +714,6 @@ def entities(df: DataFrame, names: DataFrame, id: str = "doc_id", text: str = "t
 
 
 def collisions(found: DataFrame) -> DataFrame:
-    """Surrogates that stand for more than one entity: none, unless something is wrong."""
-    return found.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n_entities")).where("n_entities > 1")
+    """Surrogates that stand for more than one entity, or for themselves: none, unless something is wrong."""
+    per = found.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n_entities"), F.max(F.col("entity") == F.col("surrogate")).alias("unchanged"))
+    return per.where("n_entities > 1 or unchanged")

@@ -1,3 +1,4 @@
+import functools
 import random
 import re
 from pathlib import Path
@@ -205,11 +206,11 @@ def test_kinds(text, kinds):
 def test_masks_keep_the_rest(spark):
     rows = [("a", "Ask Anika Brenokov, ａ@ridge.test​ ok"), ("b", "ask Anika Brenokov again"), ("c", None), ("d", ""), ("e", "nothing"), ("f", "by Zed Brenokov")]
     names = spark.createDataFrame(NAMES, "part_id long, name_part string, kind string")
-    got = {r["doc_id"]: r for r in personal.masked(table(spark, rows), names).collect()}
+    got = {r["doc_id"]: r for r in personal.masked(table(spark, rows), names, "k").collect()}
     assert got["a"]["masked"] == "Ask [NAME], [EMAIL]​ ok" and got["c"]["masked"] is None and got["e"]["masked"] == "nothing" and got["d"]["counts"] == {}
     name = got["b"]["surrogate"].removeprefix("ask ").removesuffix(" again")
     assert name in got["a"]["surrogate"] and name != "Anika Brenokov"
-    assert personal.collisions(personal.entities(table(spark, rows), names)).count() == 0
+    assert personal.collisions(personal.entities(table(spark, rows), names, "k")).count() == 0
     assert ("f", "name") in pairs(personal.kinds_found(table(spark, rows), names))
     assert personal.kinds_found(table(spark, []), names.limit(0)).count() == 0
 
@@ -222,7 +223,7 @@ def test_more_parts_than_go_to_a_worker(spark):
     names = spark.createDataFrame(NAMES, "part_id long, name_part string, kind string")
     d, few = table(spark, rows), len({(n.lower(), k) for _, n, k in NAMES})
     sort = lambda df: sorted(map(str, df.collect()))
-    for operator in (personal.kinds_found, personal.masked, personal.entities):
+    for operator in (personal.kinds_found, functools.partial(personal.masked, key="k"), functools.partial(personal.entities, key="k")):
         assert sort(operator(d, names, max_parts=few)) == sort(operator(d, names))
     assert {(f"g{i}", "name") for i in range(len(odd))} <= set(pairs(personal.kinds_found(d, names, max_parts=few)))
     with pytest.raises(ValueError):
@@ -234,6 +235,45 @@ def test_cipher_is_one_to_one():
     assert len({made.cipher(f"{i:04d}") for i in range(10_000)}) == 10_000
 
 
+SCRIPTS = personal.Parts({"иван", "олег", "राम", "मोहन", "élodie", "anika", "grace", "june"}, {"петров", "сидоров", "शर्मा", "वर्मा", "brenokov", "yarolin"}, set(), set(), set())
+
+
+@pytest.mark.parametrize("text, kind", [
+    ("Иван Петров", "name"), ("Петров Иван Сидоров", "name"), ("Борис Ёлкин", "name"), ("राम शर्मा", "name"), ("सीता गुप्ता", "name"), ("Élodie Dupré", "name"), ("Zoë Çelik-Đorđević", "name"), ("Dr. Yarolin", "name"), ("가나 다라", "name"), ("ఆనంద్ రావు", "name"),
+    ("jane@janedoe.com", "email"), ("иван@почта.рф", "email"), ("joe at foo dot bar dot com", "email"), ("+49 30 23125279", "phone"), ("AB-123-4567", "id_number"), ("9", "id_number"), ("90 Elmry Rd, Ostamere 84195", "address"),
+])
+def test_surrogates_of_every_script(text, kind):
+    made = personal.Surrogates("k", SCRIPTS)
+    entity = personal.canonical(text, kind)
+    other = made.of(entity, kind)
+    assert other != entity and made.of(entity, kind) == other and personal.Surrogates("l", SCRIPTS).of(entity, kind)
+    shape = lambda s: [(c.isdigit(), c.isupper(), c if not c.isalnum() else "") for c in s]
+    if kind != "name" or not any(w.casefold() in made.pool for w in entity.split()):
+        assert len(other) == len(entity) and shape(other) == shape(entity)
+    words = [[w.casefold() for w in re.findall(r"[^\W\d_]{3,}", x)] for x in (entity, other)]
+    assert kind == "address" or not [a for a, b in zip(*words, strict=False) if a == b and a not in ("com", "dot", "рф")]
+
+
+def test_surrogates_need_a_key_and_keep_gender_and_public_domains():
+    with pytest.raises(ValueError):
+        personal.Surrogates("", SCRIPTS)
+    made = personal.Surrogates("k", personal.Parts({"anna", "berta", "carl", "dirk"}, set(), set(), set(), set()), {"anna": "f", "berta": "f", "carl": "m", "dirk": "m"})
+    assert made.of("Anna", "name") == "Berta" and made.of("Carl", "name") == "Dirk"
+    assert made.of("ann@gmail.com", "email").endswith("@gmail.com") and not made.of("ann@annsmith.org", "email").endswith("annsmith.org")
+
+
+def test_genders_come_from_the_corpus(spark):
+    rows = [("a", "Mrs. Anika Brenokov said she was late"), ("b", "Grace Brenokov lost her hat"), ("c", "Mr June Yarolin and his dog"), ("d", None)]
+    names = spark.createDataFrame(NAMES, "part_id long, name_part string, kind string")
+    source, known, parts = personal._prepared(table(spark, rows), names, "doc_id", "text")
+    assert personal.genders(source, known, parts) == {"anika": "f", "grace": "f", "june": "m"}
+
+
+def test_names_in_other_scripts_are_found():
+    for text in ("राम शर्मा ने कहा", "then राम शर्मा came", "Потом Иван Петров сказал", "ИВАН ПЕТРОВ"):
+        assert {k for _, _, k in personal.findings(text, SCRIPTS)} == {"name"}
+
+
 # -- residue
 
 
