@@ -246,15 +246,17 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def prepared(df: DataFrame, id: str, text: str, max_words: int = MAX_BROADCAST_WORDS) -> tuple[DataFrame, Broadcast]:
+def prepared(df: DataFrame, id: str, text: str, max_words: int = MAX_BROADCAST_WORDS, words: DataFrame | None = None) -> tuple[DataFrame, Broadcast]:
     """Columns ``id``, ``text``, ``fixes``, and the known readings, for ``form``.
 
+    The readings are those of ``df`` itself, or of ``words`` if other tables share them.
+
     Up to ``max_words`` readings go to the workers; ``fixes`` is null then. Of a larger
     corpus, each text that needs repair gets its own by joins, and the set is empty.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
-    words = known_readings(rows)
+    words = known_readings(rows) if words is None else words
     taken = words.limit(max_words + 1).collect()
     if len(taken) <= max_words:
         known = spark.sparkContext.broadcast(frozenset(r[0] for r in taken))

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.llm import forms
 from lodeworks.llm.nearcopies import words
+from lodeworks.runtime import Stage
 
 SPAN = 13
 RADIUS = 2
@@ -213,9 +214,11 @@ def leaked(df: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "tex
     kind = items.schema[item].dataType.simpleString()
     arrow = pa.int64() if kind in ("bigint", "int") else pa.string()
     cast = "bigint" if arrow == pa.int64() else "string"
-    source, known = forms.prepared(df, id, text, **kw)
+    every = df.select(F.col(text).cast("string").alias("text")).union(items.select(F.col(item_text).cast("string")))
+    readings = Stage(spark, "leakage").keep(forms.known_readings(every), "readings")  # one set, so that a passage is read alike in both
+    source, known = forms.prepared(df, id, text, words=readings, **kw)
     source = source.withColumn("id", F.col("id").cast("string"))
-    spoken, item_known = forms.prepared(items.where(F.col(item).isNotNull()), item, item_text, **kw)
+    spoken, item_known = forms.prepared(items.where(F.col(item).isNotNull()), item, item_text, words=readings, **kw)
     spoken = spoken.withColumn("id", F.col("id").cast(cast)).where(F.length(F.trim("text")) > 0).dropDuplicates(["id", "text"])
     parts = []
     held: list[tuple] = []

@@ -53,8 +53,22 @@ def _mixers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return a, gen.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
 
+#: Every ASCII character that is no letter or digit, as a blank.
+_BLANKED = {c: " " for c in range(128) if not chr(c).isalnum()}
+
+
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    low = text.lower()
+    return low.translate(_BLANKED).split() if low.isascii() else _WORD.findall(low)
+
+
+class _Hashes(dict):
+    """Hashes of words, made when first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        made = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        self[word] = made
+        return made
 
 
 class Hasher:
@@ -62,15 +76,12 @@ class Hasher:
 
     def __init__(self, limit: int = 500_000):
         self.limit = limit
-        self.known: dict[str, int] = {}
+        self.known = _Hashes()
 
     def of(self, found: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        for w in set(found).difference(known):
-            known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        return np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+        if len(self.known) > self.limit:
+            self.known.clear()
+        return np.fromiter(map(self.known.__getitem__, found), np.uint64, len(found))
 
     def runs(self, text: str, k: int = RUN) -> np.ndarray:
         """Sorted distinct hashes of the runs of k words."""
@@ -90,11 +101,14 @@ class Hasher:
 def signature(runs: np.ndarray, n: int = HASHES) -> np.ndarray:
     """MinHash values of a set of run hashes, one per permutation."""
     a, b = _mixers(n)
-    low, high = (runs & np.uint64(0xFFFFFFFF)).astype(np.uint32), (runs >> np.uint64(32)).astype(np.uint32)
+    mixed = (runs ^ (runs >> np.uint64(32))).astype(np.uint32)
     best = np.full(n, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(runs), 256):  # a block stays in the processor's cache
-        x = np.multiply.outer(low[at : at + 256], a)
-        x += np.multiply.outer(high[at : at + 256], b)
+    held = np.empty((min(256, len(mixed)), n), np.uint32)
+    for at in range(0, len(mixed), 256):  # a block stays in the processor's cache
+        part = mixed[at : at + 256]
+        x = held[: len(part)]
+        np.multiply(part[:, None], a, out=x)
+        x += b
         np.minimum(best, x.min(axis=0), out=best)
     return best
 
@@ -115,9 +129,12 @@ def posterior_cuts(threshold: float, n: int = HASHES, step: int = BATCH, miss: f
     return tuple((size, next(m for m in range(size + 1) if above(m, size) >= miss)) for size in range(step, n + 1, step))
 
 
-def verified(sig_a: np.ndarray, sig_b: np.ndarray, runs_a: np.ndarray, runs_b: np.ndarray, threshold: float) -> bool:
-    """Whether the sets reach the threshold: signature batches first, then the sets."""
-    small, large = sorted((len(runs_a), len(runs_b)))
+def likely(sig_a: np.ndarray, sig_b: np.ndarray, size_a: int, size_b: int, threshold: float) -> bool:
+    """Whether sets of these sizes may reach the threshold, by batches of their signatures.
+
+    Equal low bytes stand for equal values: that only lets more pairs through.
+    """
+    small, large = sorted((size_a, size_b))
     if not small or small < threshold * large:
         return False
     start = matches = 0
@@ -126,24 +143,32 @@ def verified(sig_a: np.ndarray, sig_b: np.ndarray, runs_a: np.ndarray, runs_b: n
         if matches < least:
             return False
         start = size
+    return True
+
+
+def verified(runs_a: np.ndarray, runs_b: np.ndarray, threshold: float) -> bool:
+    """Whether the sets reach the threshold."""
     common = len(np.intersect1d(runs_a, runs_b, assume_unique=True))
-    return common >= threshold * (small + large - common) - 1e-9
+    return common >= threshold * (len(runs_a) + len(runs_b) - common) - 1e-9
 
 
 def _marks(known, k: int, rows: int):
-    """id, text, fixes -> id, class of the set of runs, band keys."""
+    """id, text, fixes -> id, class of the set of runs, its size, low bytes of the signature, band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, readings = Hasher(), known.value
         for batch in batches:
-            ids, classes, keys = [], [], []
+            ids, classes, sizes, sigs, keys = [], [], [], [], []
             for i, t, f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if i is None or forms.blank(t):
                     continue
                 runs = hasher.runs(forms.form(t, readings, forms.plain(f)), k)
                 ids.append(i)
                 classes.append(_class(runs))
-                bands = signature(runs).reshape(-1, rows).astype(np.uint64)
+                sizes.append(len(runs))
+                sig = signature(runs)
+                sigs.append(sig.astype(np.uint8).tobytes())
+                bands = sig.reshape(-1, rows).astype(np.uint64)
                 key = np.arange(len(bands), dtype=np.uint64)
                 with np.errstate(over="ignore"):
                     for c in bands.T:
@@ -153,22 +178,22 @@ def _marks(known, k: int, rows: int):
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
             ends = np.arange(len(ids) + 1, dtype=np.int32) * (HASHES // rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.string()), pa.array(classes, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                names=["id", "class", "bands"],
+                [pa.array(ids, pa.string()), pa.array(classes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                names=["id", "class", "size", "sig", "bands"],
             )
 
     return run
 
 
 def _payload(known, k: int):
-    """id, text, fixes -> class, signature, runs."""
+    """id, text, fixes -> class, runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, readings = Hasher(), known.value
         for batch in batches:
             sets = [hasher.runs(forms.form(t, readings, forms.plain(f)), k) for t, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            rows = [[_class(r) for r in sets], [signature(r).tobytes() for r in sets], [r.tobytes() for r in sets]]
-            yield pa.RecordBatch.from_arrays([pa.array(r, pa.binary()) for r in rows], names=["class", "sig", "runs"])
+            rows = [[_class(r) for r in sets], [r.tobytes() for r in sets]]
+            yield pa.RecordBatch.from_arrays([pa.array(r, pa.binary()) for r in rows], names=["class", "runs"])
 
     return run
 
@@ -178,13 +203,24 @@ def _class(runs: np.ndarray) -> bytes:
     return hashlib.blake2b(runs.tobytes(), digest_size=16).digest()
 
 
+def _cut(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, sa, sb, na, nb = batch.columns
+            na, nb = na.to_pylist(), nb.to_pylist()
+            sig = lambda c, i: np.frombuffer(c[i].as_buffer(), np.uint8)
+            keep = pa.array([likely(sig(sa, i), sig(sb, i), na[i], nb[i], threshold) for i in range(batch.num_rows)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
+
+    return run
+
+
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, sa, sb, ra, rb = batch.columns
-            of = lambda c, i, t: np.frombuffer(c[i].as_buffer(), t)
-            good = [verified(of(sa, i, np.uint32), of(sb, i, np.uint32), of(ra, i, np.uint64), of(rb, i, np.uint64), threshold) for i in range(batch.num_rows)]
-            keep = pa.array(good, pa.bool_())
+            a, b, ra, rb = batch.columns
+            of = lambda c, i: np.frombuffer(c[i].as_buffer(), np.uint64)
+            keep = pa.array([verified(of(ra, i), of(rb, i), threshold) for i in range(batch.num_rows)], pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
     return run
@@ -194,7 +230,9 @@ def _prefixes(df: DataFrame, threshold: float) -> DataFrame:
     """Pairs a < b of classes that share one of their rarest runs, of those in crowded buckets.
 
     Sets that reach the threshold share a run within the first n - ceil(t n) + 1 of each
-    set, runs being ordered by how many sets hold them (ties by hash).
+    set, runs being ordered by how many sets hold them (ties by hash); after the first
+    shared run enough must be left of both sets to reach it. Runs that very many sets hold
+    come last, and a join partition that they fill is split by adaptive execution.
     """
     runs = df.select(F.col("class").alias("id"), F.explode("runs").alias("run"))
     often = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -206,10 +244,11 @@ def _prefixes(df: DataFrame, threshold: float) -> DataFrame:
     size = F.size("all")
     first = ordered.select(
         "id", size.alias("size"),
-        F.explode(F.slice("all", 1, (size - F.ceil(size * F.lit(threshold)) + 1).cast("int"))).alias("at"),
-    ).where("at.n > 1").select("id", "size", F.col("at.run").alias("run"))
-    other = first.select(F.col("id").alias("b"), F.col("size").alias("size_b"), "run")
-    near = (F.col("size") * 1.0 >= F.col("size_b") * threshold) & (F.col("size_b") * 1.0 >= F.col("size") * threshold)
+        F.posexplode(F.slice("all", 1, (size - F.ceil(size * F.lit(threshold)) + 1).cast("int"))).alias("place", "at"),
+    ).where("at.n > 1").select("id", "size", (F.col("size") - F.col("place")).alias("left"), F.col("at.run").alias("run"))
+    other = first.select(F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("left").alias("left_b"), "run")
+    need = (F.col("size") + F.col("size_b")) * (threshold / (1 + threshold)) - 1e-6
+    near = (F.col("size") * 1.0 >= F.col("size_b") * threshold) & (F.col("size_b") * 1.0 >= F.col("size") * threshold) & (F.least("left", "left_b") >= need)
     return first.withColumnRenamed("id", "a").join(other, "run").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
@@ -244,7 +283,7 @@ def near_copies(df: DataFrame, id: str = "doc_id", text: str = "text", threshold
     stage = Stage(spark, "nearcopies")
     source, known = forms.prepared(df, id, text, **kw)
     source = source.withColumn("id", F.col("id").cast("string"))
-    marks = stage.keep(source.mapInArrow(_marks(known, k, rows), "id string, class binary, bands array<long>"), "marks")
+    marks = stage.keep(source.mapInArrow(_marks(known, k, rows), "id string, class binary, size int, sig binary, bands array<long>"), "marks")
 
     # Copies have the same runs and bands, so bands are compared by class, not by record.
     bands = marks.select("class", F.hash("class").alias("mark"), F.explode(F.array_distinct("bands")).alias("band"))
@@ -256,18 +295,20 @@ def near_copies(df: DataFrame, id: str = "doc_id", text: str = "text", threshold
     thin = shared.join(sizes.where(F.col("n").between(2, crowd)), "band", "left_semi")
     pairs = thin.select("band", F.col("class").alias("a")).join(thin.select("band", F.col("class").alias("b")), "band").where("a < b").select("a", "b").distinct()
     pairs = stage.keep(pairs, "banded")
-    meant = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(crowded).distinct()
-    reps = stage.keep(_beside(marks.select("class", "id"), stage.keep(meant, "meant"), "class", max_ids).groupBy("class").agg(F.min("id").alias("id")), "reps")
-    named = stage.keep(_beside(source.where(F.col("text").isNotNull()), reps.select("id"), "id", max_ids).mapInArrow(_payload(known, k), "class binary, sig binary, runs binary"), "payload")
+
+    # Signatures are compared first, a byte a value; only what they leave is looked up in the texts.
+    ends = lambda of: of.select(F.col("a").alias("class")).union(of.select("b")).distinct()
+    sigs = _beside(marks.select("class", "sig", "size"), stage.keep(ends(pairs), "ends"), "class", max_ids).dropDuplicates(["class"])
+    met = pairs.join(sigs.toDF("a", "sig_a", "size_a"), "a").join(sigs.toDF("b", "sig_b", "size_b"), "b")
+    pairs = stage.keep(met.select("a", "b", "sig_a", "sig_b", "size_a", "size_b").mapInArrow(_cut(threshold), "a binary, b binary"), "likely")
+    meant = stage.keep(ends(pairs).union(crowded).distinct(), "meant")
+    reps = stage.keep(_beside(marks.select("class", "id"), meant, "class", max_ids).groupBy("class").agg(F.min("id").alias("id")), "reps")
+    named = stage.keep(_beside(source.where(F.col("text").isNotNull()), reps.select("id"), "id", max_ids).mapInArrow(_payload(known, k), "class binary, runs binary"), "payload")
     payload = named.dropDuplicates(["class"])
     if not crowded.isEmpty():
         dense = _as_runs(payload.join(crowded, "class", "left_semi"))
         pairs = stage.keep(pairs.union(_prefixes(dense, threshold)).distinct(), "pairs")
-    met = (
-        pairs.join(payload.toDF("a", "sig_a", "runs_a"), "a")
-        .join(payload.toDF("b", "sig_b", "runs_b"), "b")
-        .select("a", "b", "sig_a", "sig_b", "runs_a", "runs_b")
-    )
+    met = pairs.join(payload.toDF("a", "runs_a"), "a").join(payload.toDF("b", "runs_b"), "b").select("a", "b", "runs_a", "runs_b")
     links = stage.keep(met.mapInArrow(_verify(threshold), "a binary, b binary"), "links")
     members = marks.select("id", "class").distinct()
     return NearCopies(members, links, stage)
@@ -289,18 +330,19 @@ def near_copy_pairs(df: DataFrame, id: str = "doc_id", text: str = "text", **kw)
     return across.union(within)
 
 
-def near_copy_groups(df: DataFrame, id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
+def near_copy_groups(df: DataFrame, id: str = "doc_id", text: str = "text", rounds: int = 64, **kw) -> DataFrame:
     """``id``, ``class_id``, ``n_links`` of its class, ``group_id``: one row per record with runs.
 
     A group is a connected set of classes, named by its least id. Least names travel along
-    links and then along names already reached; each round is written to the shared folder.
+    links and then along names already reached; each round is written to the shared folder,
+    and groups that ``rounds`` do not settle end in an error.
     """
     found = near_copies(df, id, text, **kw)
     links, stage = found.links, found.stage
     both = stage.keep(links.union(links.select("b", "a")).toDF("a", "b"), "both")
     name = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("name"))
     name = stage.keep(name, "name0")
-    for turn in range(1, 64):
+    for turn in range(1, rounds + 1):
         beside = both.join(name.toDF("b", "name"), "b").groupBy("a").agg(F.min("name").alias("near"))
         nearer = name.join(beside, "a", "left").select("a", F.least("name", F.coalesce("near", "name")).alias("name"), F.col("name").alias("was"))
         jump = nearer.select(F.col("a").alias("name"), F.col("name").alias("far"))
@@ -310,6 +352,8 @@ def near_copy_groups(df: DataFrame, id: str = "doc_id", text: str = "text", **kw
         name = moved.select("a", "name")
         if moved.where("name != was").isEmpty():
             break
+    else:
+        raise RuntimeError(f"groups not settled after {rounds} rounds; raise rounds")
     degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
     known = name.join(degree, "a").withColumnRenamed("a", "class")
     least = found.members.groupBy("class").agg(F.min("id").alias("class_id"))

@@ -94,9 +94,26 @@ def test_posterior_cuts_never_lose_a_true_match():
     assert all(least <= size * 0.7 for size, least in nearcopies.posterior_cuts(0.7))
 
 
+def test_unsettled_groups_are_an_error(spark):
+    chain = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(10):
+        rows.append((f"c{9 - i if i % 2 else i}", " ".join(chain)))
+        chain[i * 8] = f"v{i}"
+    with pytest.raises(RuntimeError):
+        nearcopies.near_copy_groups(table(spark, rows), rounds=1)
+
+
 # -- leakage
 
 
+def test_corpus_and_items_are_read_alike(spark):
+    words = [f"q{i}" for i in range(5)] + ["plant"] + [f"q{i}" for i in range(6, 14)]
+    docs = [("a", " ".join(words)), ("b", "the рlant"), ("c", "the plаnt")]
+    item = spark.createDataFrame([(1, " ".join(words).replace("plant", "рlant"))], "item_id long, text string")
+    assert pairs(leakage.leaked(table(spark, docs), item)) == [("a", 1)]
+
+
 @pytest.mark.parametrize("most", [1_000_000, 10])
 def test_leaks_against_windows(spark, most):
     gen = random.Random(9)
