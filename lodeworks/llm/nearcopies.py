@@ -18,8 +18,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,49 +54,62 @@ def _mixers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return a, gen.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
 
-#: Every ASCII character that is no letter or digit, as a blank.
-_BLANKED = {c: " " for c in range(128) if not chr(c).isalnum()}
+#: Pieces between blanks that are remembered, with what they hold.
+REMEMBERED = 500_000
 
 
-def words(text: str) -> list[str]:
-    low = text.lower()
-    return low.translate(_BLANKED).split() if low.isascii() else _WORD.findall(low)
-
+class _Pieces(dict):
+    """What ``make`` gives for a piece of text between blanks, worked out when first asked for."""
 
-class _Hashes(dict):
-    """Hashes of words, made when first asked for."""
+    def __init__(self, make: Callable[[str], tuple]):
+        super().__init__()
+        self.make = make
 
-    def __missing__(self, word: str) -> int:
-        made = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        self[word] = made
+    def __missing__(self, piece: str) -> tuple:
+        if len(self) > REMEMBERED:
+            self.clear()
+        made = self[piece] = self.make(piece)
         return made
 
+    def of(self, text: str) -> list:
+        """All pieces of the lower-cased text, one after the other."""
+        return list(itertools.chain.from_iterable(map(self.__getitem__, text.lower().split())))
 
-class Hasher:
-    """64-bit hashes of words and of runs of words; the words are remembered."""
 
-    def __init__(self, limit: int = 500_000):
-        self.limit = limit
-        self.known = _Hashes()
+_WORDS = _Pieces(lambda piece: tuple(_WORD.findall(piece)))
+
+
+def words(text: str) -> list[str]:
+    return _WORDS.of(text)
+
+
+def _hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+class Hasher:
+    """64-bit hashes of words and of runs of words; pieces are remembered."""
 
-    def of(self, found: list[str]) -> np.ndarray:
-        if len(self.known) > self.limit:
-            self.known.clear()
-        return np.fromiter(map(self.known.__getitem__, found), np.uint64, len(found))
+    def __init__(self):
+        self.pieces = _Pieces(lambda piece: tuple(map(_hash, _WORD.findall(piece))))
 
     def runs(self, text: str, k: int = RUN) -> np.ndarray:
         """Sorted distinct hashes of the runs of k words."""
-        found = words(text)
+        found = self.pieces.of(text)
         if len(found) < k:
-            return self.of([" ".join(found) or text.strip()])
-        h = self.of(found)
+            return np.array([_hash(" ".join(words(text)) or text.strip())], np.uint64)
+        h = np.array(found, np.uint64)
         n = len(h) - k + 1
         made = np.zeros(n, np.uint64)
         with np.errstate(over="ignore"):
             for i in range(k):
-                made = (made ^ h[i : i + n]) * np.uint64(_SEED)
+                made ^= h[i : i + n]
+                made *= np.uint64(_SEED)
                 made ^= made >> np.uint64(29)
-        return np.unique(made)
+        made.sort()
+        first = np.ones(n, bool)
+        np.not_equal(made[1:], made[:-1], out=first[1:])
+        return made[first]
 
 
 def signature(runs: np.ndarray, n: int = HASHES) -> np.ndarray:
@@ -158,7 +172,7 @@ def _marks(known, k: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, readings = Hasher(), known.value
         for batch in batches:
-            ids, classes, sizes, sigs, keys = [], [], [], [], []
+            ids, classes, sizes, sigs = [], [], [], []
             for i, t, f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if i is None or forms.blank(t):
                     continue
@@ -166,21 +180,23 @@ def _marks(known, k: int, rows: int):
                 ids.append(i)
                 classes.append(_class(runs))
                 sizes.append(len(runs))
-                sig = signature(runs)
-                sigs.append(sig.astype(np.uint8).tobytes())
-                bands = sig.reshape(-1, rows).astype(np.uint64)
-                key = np.arange(len(bands), dtype=np.uint64)
-                with np.errstate(over="ignore"):
-                    for c in bands.T:
-                        key = (key ^ c) * np.uint64(_SEED)
-                        key ^= key >> np.uint64(31)
-                keys.append(key.view(np.int64))
-            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
+                sigs.append(signature(runs))
+            every = np.stack(sigs) if sigs else np.empty((0, HASHES), np.uint32)
+            bands = every.reshape(len(ids), HASHES // rows, rows).astype(np.uint64)
+            keys = np.tile(np.arange(HASHES // rows, dtype=np.uint64), (len(ids), 1))
+            with np.errstate(over="ignore"):
+                for r in range(rows):
+                    keys = (keys ^ bands[:, :, r]) * np.uint64(_SEED)
+                    keys ^= keys >> np.uint64(31)
             ends = np.arange(len(ids) + 1, dtype=np.int32) * (HASHES // rows)
+            low = every.astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.string()), pa.array(classes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                [
+                    pa.array(ids, pa.string()), pa.array(classes, pa.binary()), pa.array(sizes, pa.int32()), pa.array([x.tobytes() for x in low], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64).ravel())),
+                ],
                 names=["id", "class", "size", "sig", "bands"],
-            )
+            )
 
     return run
 
