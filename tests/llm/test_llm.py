@@ -180,25 +180,31 @@ def test_sum_of_squares_fills():
 
 
 def shards(spark, rows):
-    return spark.createDataFrame(rows, "shard_id string, capability_lane string, token_count long, generated_at timestamp_ntz, stage string")
+    return spark.createDataFrame(rows, "shard_id string, capability_lane string, token_count long, generated_at timestamp_ntz, doc_ids array<string>, stage string")
 
 
-def test_draws_equal_the_sql(spark):
+@pytest.mark.parametrize("range_", [20_000, 10])
+def test_draws_equal_the_sql(spark, range_):
     gen = random.Random(2)
     from datetime import datetime
 
-    rows = [(f"s{i}", gen.choice(["a", " A", "B", None]), gen.choice([10, 25, 70, None, -1, 10**7]), datetime(2025, 1, 1 + i % 20), "z") for i in range(300)]
+    rows = [(f"s{i}", gen.choice(["a", " A", "B", None]), gen.choice([10, 25, 70, None, -1, 10**7]), datetime(2025, 1, 1 + i % 20), [f"d{i}"], "z") for i in range(300)]
+    rows += [("odd", "a", 40, None, None, "z"), ("far", "b", 99, None, ["gone"], "z"), (None, "a", 5, None, ["d1"], "z")]
     m = shards(spark, [*rows, *rows[:40]])
+    r = spark.createDataFrame([(f"d{i}", "x" * 90, "k") for i in range(300)] + [("d0", "x", "k"), ("d1", None, "k")], "doc_id string, text string, lane string")
     f = spark.createDataFrame([("one", "a", 60.0, 5), ("one", "b", 40.0, None), ("one", "b", 40.0, None)], "stage string, lane string, need double, supply long")
     x = spark.createDataFrame([("one", "a", 50.0, 3, 12000), ("one", "b", 50.0, 2, 12000), ("one", "gone", 0.0, 1, 12000)], "stage string, lane string, share_pct double, max_repeats int, token_budget long")
     con = duckdb.connect()
-    for name, df in (("manifest", m), ("feasibility", f), ("mixture", x)):
+    for name, df in (("manifest", m), ("feasibility", f), ("mixture", x), ("run_pipeline", r)):
         con.register(name, df.toPandas())
-    mine = sorted(tuple(r) for r in mixing.drawn(m, f, x).select("stage", "lane", "shard_id", "token_count", "uses").collect())
-    assert mine == sorted(con.execute(mixing.DRAWN_SQL).fetchall()) and mine
-    report = {r["lane"]: r for r in mixing.report(m, f, x).collect()}
+    mine = sorted(tuple(r) for r in mixing.drawn(m, f, x, r, range_=range_).select("stage", "lane", "shard_id", "token_count", "uses").collect())
+    assert mine == sorted(con.execute(mixing.DRAWN_SQL).fetchall()) and mine and "odd" in {r[2] for r in mine}
+    report = {r["lane"]: r for r in mixing.report(m, f, x, r, range_=range_).collect()}
     assert report["a"]["most_uses"] <= 3 and report["gone"]["tokens"] == 0
-    assert mixing.drawn(m.limit(0), f, x).count() == 0
+    none = {lane: [t for _, l, t, *_ in rows if _ is not None and (l or "").strip().lower() == lane and (t is None or t < 1 or t == 10**7)] for lane in ("a", "b")}
+    for lane in ("a", "b"):
+        assert report[lane]["left_out"] == len(none[lane]) and report[lane]["left_out_tokens"] == sum(max(t or 0, 0) for t in none[lane])
+    assert mixing.drawn(m.limit(0), f, x, r).count() == 0
 
 
 # -- personal data
