@@ -31,12 +31,12 @@ def shingle_hashes(d: DataFrame) -> DataFrame:
 
 @query("h01_exact_hashes", "documents")
 def exact_hashes(d: DataFrame) -> DataFrame:
-    return d.select("doc_id", F.array_sort(H.blake_hashes(T.grams(T.words(T.text_of("text")), 5))).alias("hashes"))
+    return dedup.exact_hashes(d, "doc_id")
 
 
 @query("h02_minhash_signature", "documents", sql=f"WITH {_SETS}, {_SIGS} SELECT doc_id, array_to_string(sig, ',') AS sig FROM sigs")
 def minhash(d: DataFrame) -> DataFrame:
-    return dedup.shingle_hashes(d, "doc_id").select("doc_id", F.array_join(F.transform(H.signature(F.col("hashes")), lambda v: v.cast("string")), ",").alias("sig"))
+    return dedup.signed(d, "doc_id").select("doc_id", F.array_join(F.transform("sig", lambda v: v.cast("string")), ",").alias("sig"))
 
 
 @query("h03_band_keys", "documents", sql=f"WITH {_SETS}, {_SIGS}, {_BANDS} SELECT doc_id, b AS band, key FROM bands")
@@ -44,14 +44,14 @@ def band_keys(d: DataFrame) -> DataFrame:
     return dedup.banded(d, "doc_id").select("doc_id", "band", "key")
 
 
-@query("j01_lsh_candidates", "documents", sql=f"""WITH {_SETS}, {_SIGS}, {_BANDS}, sizes AS (SELECT b, key, count(*) AS n, min(doc_id) AS f FROM bands GROUP BY ALL HAVING count(*) > 1)
-SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM bands x JOIN sizes s USING (b, key) JOIN bands y USING (b, key) WHERE x.doc_id < y.doc_id AND (s.n <= {dedup.CROWD} OR x.doc_id = s.f)""")
+@query("j01_lsh_candidates", "documents", sql=f"""WITH {_SETS}, {_SIGS}, {_BANDS}
+SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM bands x JOIN bands y USING (b, key) WHERE x.doc_id < y.doc_id""")
 def lsh_candidates(d: DataFrame) -> DataFrame:
     return dedup.lsh_pairs(d, "doc_id")
 
 
-@query("h04_signature_agreement", "documents", sql=f"""WITH {_SETS}, {_SIGS}, {_BANDS}, sizes AS (SELECT b, key, count(*) AS n, min(doc_id) AS f FROM bands GROUP BY ALL HAVING count(*) > 1),
-pairs AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM bands x JOIN sizes s USING (b, key) JOIN bands y USING (b, key) WHERE x.doc_id < y.doc_id AND (s.n <= {dedup.CROWD} OR x.doc_id = s.f))
+@query("h04_signature_agreement", "documents", sql=f"""WITH {_SETS}, {_SIGS}, {_BANDS},
+pairs AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM bands x JOIN bands y USING (b, key) WHERE x.doc_id < y.doc_id)
 SELECT a, pairs.b AS b FROM pairs JOIN sigs s ON s.doc_id = a JOIN sigs t ON t.doc_id = pairs.b WHERE list_sum(list_transform(range(1, 129), lambda i: CASE WHEN s.sig[i] = t.sig[i] THEN 1 ELSE 0 END)) >= 103""")
 def agreement(d: DataFrame) -> DataFrame:
     return dedup.minhash_links(d, "doc_id", 103)
@@ -62,7 +62,7 @@ def minhash_dedup(d: DataFrame) -> DataFrame:
     return dedup.minhash_dropped(d, "doc_id", 103).select("doc_id", F.lit(True).alias("is_dup"))
 
 
-_PAIRS = f"""{_SETS.replace("FROM documents", "FROM run_pipeline")}, reps AS (SELECT min(doc_id) AS rep, h FROM sets WHERE len(h) > 0 GROUP BY h), x AS (SELECT rep, unnest(h) AS g FROM reps),
+_PAIRS = f"""{_SETS.replace("FROM documents", "FROM run_pipeline").replace(_SHORT("g"), _LONG("g"))}, reps AS (SELECT min(doc_id) AS rep, h FROM sets WHERE len(h) > 0 GROUP BY h), x AS (SELECT rep, unnest(h) AS g FROM reps),
 met AS (SELECT p.rep AS a, q.rep AS b, count(*) AS common FROM x p JOIN x q USING (g) WHERE p.rep < q.rep GROUP BY ALL),
 pairs AS (SELECT a, b, common, len(s.h) + len(t.h) - common AS total FROM met JOIN reps s ON s.rep = a JOIN reps t ON t.rep = b)"""
 
@@ -147,9 +147,9 @@ def shard_hash(b: DataFrame) -> DataFrame:
     return b.select("item_id", H.ids_hash(ids).alias("digest"))
 
 
-@query("h12_loss_mask_hash", "benchmark", sql=f"SELECT item_id, sha256(unhex(array_to_string(list_transform({_words(_D)}, lambda w: CASE WHEN length(w) % 2 = 0 THEN '01' ELSE '00' END), ''))) AS digest FROM benchmark")
-def loss_mask_hash(b: DataFrame) -> DataFrame:
-    return b.select("item_id", H.mask_hash(F.transform(T.words(T.text_of("text")), lambda w: (F.length(w) % 2 == 0).cast("int"))).alias("digest"))
+@query("h12_loss_mask_hash", "documents", sql=f"SELECT doc_id, sha256(unhex(array_to_string(list_transform({_words(_D)}, lambda w: CASE WHEN length(w) % 2 = 0 THEN '01' ELSE '00' END), ''))) AS digest FROM documents")
+def loss_mask_hash(d: DataFrame) -> DataFrame:
+    return d.select("doc_id", H.mask_hash(F.transform(T.words(T.text_of("text")), lambda w: (F.length(w) % 2 == 0).cast("int"))).alias("digest"))
 
 
 @query("h13_state_hash", "ledger", sql="SELECT ledger_offset, sha256('{\"branch\": \"' || run_branch_id || '\", \"offset\": ' || ledger_offset || '}') AS digest FROM ledger")

@@ -23,7 +23,7 @@ ACCEPT = 2800
 WINDOW_TOKENS = 128
 
 
-@query("x01_stage_bands", "ledger", sql="SELECT stage, phase, count(*) AS n FROM (SELECT CASE WHEN f < 5500 THEN 'foundation' WHEN f < 8500 THEN 'skill_build' ELSE 'anneal' END AS stage, CASE WHEN f < 4000 THEN 'early' WHEN f < 7000 THEN 'mid' WHEN f < 8500 THEN 'late' ELSE 'anneal' END AS phase FROM (SELECT least(ledger_offset * 10000 // 6000, 9999) AS f FROM ledger)) GROUP BY ALL")
+@query("x01_stage_bands", "ledger", sql="SELECT stage, phase, count(*) AS n FROM (SELECT CASE WHEN f < 5500 THEN 'foundation' WHEN f < 8500 THEN 'skill_build' ELSE 'anneal' END AS stage, CASE WHEN f < 4000 THEN 'early' WHEN f < 7000 THEN 'mid' WHEN f < 8500 THEN 'late' ELSE 'anneal' END AS phase FROM (SELECT least(ledger_offset * 10000 // (SELECT max(ledger_offset) + 1 FROM ledger), 9999) AS f FROM ledger)) GROUP BY ALL")
 def stage_bands(e: DataFrame) -> DataFrame:
     """Events by stage and phase, the run being as long as the table's offsets go."""
     whole = F.broadcast(e.agg((F.max("ledger_offset") + 1).alias("whole")))
@@ -34,8 +34,23 @@ def stage_bands(e: DataFrame) -> DataFrame:
     return e.groupBy(stage.alias("stage"), phase.alias("phase")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("x03_feasibility", "feasibility", sql="SELECT stage, lane, max(need) AS need, max(supply) AS supply, coalesce(max(supply), 0) < max(need) AS short FROM feasibility GROUP BY ALL")
-def feasibility(f: DataFrame) -> DataFrame:
+#: Share of batches that decisions are taken to turn away when needs are worked out.
+REJECTED = 0.18
+
+
+@query("x03_feasibility", "mixture", "manifest", sql=f"""WITH s AS (SELECT lower(trim(capability_lane)) AS lane, sum(n)::BIGINT AS supply FROM (SELECT shard_id, max(capability_lane) AS capability_lane, max(token_count) AS n FROM manifest WHERE admission = 'admitted' AND token_count > 0 GROUP BY 1) GROUP BY 1)
+SELECT stage, lane, round(token_budget * share_pct / 100 / (1 - {REJECTED}))::BIGINT AS need, coalesce(supply, 0) AS supply, coalesce(supply, 0) < token_budget * share_pct / 100 / (1 - {REJECTED}) AS short FROM mixture LEFT JOIN s USING (lane)""")
+def feasibility(x: DataFrame, m: DataFrame) -> DataFrame:
+    """Tokens that each stage and lane needs, what is lost to decisions included, against what is admitted."""
+    held = m.where("admission = 'admitted' and token_count > 0").groupBy("shard_id").agg(F.max("capability_lane").alias("lane"), F.max("token_count").alias("n"))
+    supply = held.groupBy(F.lower(F.trim("lane")).alias("lane")).agg(F.sum("n").alias("supply"))
+    need = F.col("token_budget") * F.col("share_pct") / 100 / (1 - REJECTED)
+    rows = x.join(supply, "lane", "left").withColumn("supply", F.coalesce("supply", F.lit(0)))
+    return rows.select("stage", "lane", F.round(need).cast("long").alias("need"), "supply", (F.col("supply") < need).alias("short"))
+
+
+@query("x03_recorded_needs", "feasibility", sql="SELECT stage, lane, max(need) AS need, max(supply) AS supply, coalesce(max(supply), 0) < max(need) AS short FROM feasibility GROUP BY ALL")
+def recorded_needs(f: DataFrame) -> DataFrame:
     per = f.groupBy("stage", "lane").agg(F.max("need").alias("need"), F.max("supply").alias("supply"))
     return per.withColumn("short", F.coalesce("supply", F.lit(0)) < F.col("need"))
 
@@ -67,25 +82,57 @@ def largest_remainder(m: DataFrame) -> DataFrame:
     return x.withColumns({"r": rank, "spare": spare}).select("stage", "lane", (F.col("w") + F.when(F.col("r") <= F.col("spare"), 1).otherwise(0)).alias("units"))
 
 
-@query("x11_curriculum", "mixture", sql="""WITH a AS (SELECT lane, max(CASE WHEN stage = 'foundation' THEN share_pct END) AS x, max(CASE WHEN stage = 'anneal' THEN share_pct END) AS y FROM mixture GROUP BY lane)
-SELECT t AS step, lane, (x * (10 - t) + y * t) / 10 AS share FROM a, range(11) r(t)""")
-def curriculum(m: DataFrame) -> DataFrame:
-    ends = m.groupBy("lane").agg(F.max(F.when(F.col("stage") == "foundation", F.col("share_pct"))).alias("x"), F.max(F.when(F.col("stage") == "anneal", F.col("share_pct"))).alias("y"))
-    t = F.col("step")
-    return ends.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(10).cast("long")))).select("step", "lane", ((F.col("x") * (10 - t) + F.col("y") * t) / 10).alias("share"))
+# Why a batch is not taken; the last three do not arise here.
+REASONS = ("eval_firewall_overlap", "deferred_for_anneal", "below_proxy_threshold", "lane_quota_full", "duplicate_update_direction", "stage_mismatch")
+_UNDER = " OR ".join(f"(lane = '{k}' AND 100 * n < {v} * total)" for k, v in FLOORS.items())
+_DECIDED = f"""e AS (SELECT DISTINCT ON (ledger_offset) ledger_offset, mixture_lane AS lane, curriculum_stage AS stage, coalesce(opus_decision_id, 'step-' || ledger_offset) AS candidate, shard_ids FROM ledger WHERE event = 'batch_committed'),
+bad AS (SELECT DISTINCT shard_id FROM manifest WHERE coalesce(never_train, false) OR coalesce(benchmark_overlap_pct, 0) > 25 OR coalesce(canary_match, false) OR coalesce(benchmark_derived, false)),
+hit AS (SELECT DISTINCT ledger_offset FROM (SELECT ledger_offset, unnest(shard_ids) AS shard_id FROM e) SEMI JOIN bad USING (shard_id)),
+share AS (SELECT *, sum(n) OVER (PARTITION BY stage) AS total FROM (SELECT stage, lane, count(*) AS n FROM e WHERE lane IS NOT NULL GROUP BY stage, lane)), floors AS (SELECT stage, lane, {_UNDER} AS under FROM share),
+s AS (SELECT e.*, h.ledger_offset IS NOT NULL AS tripped, coalesce(under, false) AS under, CASE WHEN h.ledger_offset IS NOT NULL THEN 0 ELSE (('0x' || substr(sha256(candidate), 1, 8))::BIGINT * 10000) // 4294967296 END AS score FROM e LEFT JOIN hit h USING (ledger_offset) LEFT JOIN floors USING (stage, lane)),
+d AS (SELECT *, CASE WHEN tripped THEN 'rejected' WHEN score >= {ACCEPT} THEN 'accepted' WHEN under THEN 'protected' WHEN stage = 'foundation' AND lane IN ('indic', 'reasoning') THEN 'deferred' ELSE 'rejected' END AS decision FROM s)"""
 
 
-_DECIDE = f"CASE WHEN blocked THEN 'rejected' WHEN score >= {ACCEPT} THEN 'accepted' WHEN lane IN ('indic', 'reasoning', 'agentic') AND score >= 2000 THEN 'protected' WHEN lane IN ('indic', 'reasoning') THEN 'deferred' ELSE 'rejected' END"
+def decided(e: DataFrame, m: DataFrame) -> DataFrame:
+    """Committed batches with ``score``, ``decision``, ``reason`` and ``override``, whether a lane's floor had a part in it.
 
+    A batch with a shard that any of the four gates stops is turned away; else its score
+    decides, else its lane's floor, else it may be kept for the last stage.
+    """
+    from lodeworks.catalog.manifest import gates
 
-@query("x06_decision", "manifest", sql=f"SELECT lane, decision, count(*) AS n FROM (SELECT *, {_DECIDE} AS decision FROM (SELECT DISTINCT shard_id, lower(trim(capability_lane)) AS lane, coalesce(never_train, false) OR coalesce(canary_match, false) AS blocked, ((('0x' || substr(sha256(shard_id), 1, 8))::BIGINT * 10000) // 4294967296) AS score FROM manifest)) GROUP BY ALL")
-def decision(m: DataFrame) -> DataFrame:
-    rows = m.select("shard_id", F.lower(F.trim("capability_lane")).alias("lane"), (F.coalesce("never_train", F.lit(False)) | F.coalesce("canary_match", F.lit(False))).alias("blocked")).distinct().withColumn("score", H.unit_interval(F.col("shard_id")))
-    cascade = (
-        F.when(F.col("blocked"), "rejected").when(F.col("score") >= ACCEPT, "accepted")
-        .when(F.col("lane").isin(*FLOORS) & (F.col("score") >= 2000), "protected").when(F.col("lane").isin("indic", "reasoning"), "deferred").otherwise("rejected")
-    )
-    return rows.groupBy("lane", cascade.alias("decision")).agg(F.count(F.lit(1)).alias("n"))
+    rows = e.where("event = 'batch_committed'").dropDuplicates(["ledger_offset"]).select(
+        "ledger_offset", F.col("mixture_lane").alias("lane"), F.col("curriculum_stage").alias("stage"), F.coalesce("opus_decision_id", F.concat(F.lit("step-"), F.col("ledger_offset").cast("string"))).alias("candidate"), "shard_ids"
+    )
+    bad = m.where(F.size(gates()) > 0).select("shard_id").distinct()
+    hit = rows.select("ledger_offset", F.explode("shard_ids").alias("shard_id")).join(bad, "shard_id", "left_semi").select("ledger_offset").distinct().withColumn("tripped", F.lit(True))
+    share = rows.where("lane is not null").groupBy("stage", "lane").agg(F.count(F.lit(1)).alias("n"))
+    whole = share.groupBy("stage").agg(F.sum("n").alias("total"))
+    below = F.lit(False)
+    for lane, floor in FLOORS.items():
+        below = below | ((F.col("lane") == lane) & (100 * F.col("n") < floor * F.col("total")))
+    floors = share.join(whole, "stage").select("stage", "lane", below.alias("under"))
+    held = rows.join(hit, "ledger_offset", "left").join(F.broadcast(floors), ["stage", "lane"], "left").fillna(False, ["tripped", "under"])
+    held = held.withColumn("score", F.when(F.col("tripped"), F.lit(0).cast("long")).otherwise(H.unit_interval(F.col("candidate"))))
+    kept = (F.col("stage") == "foundation") & F.col("lane").isin("indic", "reasoning")
+    passed = F.col("score") >= ACCEPT
+    decision = F.when(F.col("tripped"), "rejected").when(passed, "accepted").when(F.col("under"), "protected").when(kept, "deferred").otherwise("rejected")
+    reason = F.when(F.col("tripped"), REASONS[0]).when(passed | F.col("under"), F.lit(None).cast("string")).when(kept, REASONS[1]).otherwise(REASONS[2])
+    return held.select("ledger_offset", "stage", "lane", "score", decision.alias("decision"), reason.alias("reason"), (~F.col("tripped") & F.col("under")).alias("override"))
+
+
+@query("x06_decision", "ledger", "manifest", sql=f"WITH {_DECIDED} SELECT ledger_offset, stage, lane, score, decision, CASE WHEN tripped THEN '{REASONS[0]}' WHEN decision IN ('accepted', 'protected') THEN NULL WHEN decision = 'deferred' THEN '{REASONS[1]}' ELSE '{REASONS[2]}' END AS reason, NOT tripped AND under AS override FROM d")
+def decision(e: DataFrame, m: DataFrame) -> DataFrame:
+    return decided(e, m)
+
+
+@query("a06_decision_counts", "ledger", "manifest", sql=f"WITH {_DECIDED} SELECT stage, decision, n, (turned * 10000 // sum(n) OVER (PARTITION BY stage))::BIGINT AS turned_10k FROM (SELECT stage, decision, count(*) AS n, count(*) FILTER (WHERE decision IN ('rejected', 'deferred')) AS turned FROM d GROUP BY stage, decision)")
+def decision_counts(e: DataFrame, m: DataFrame) -> DataFrame:
+    """Decisions by stage, and the share of a stage's batches that rejections and deferrals take."""
+    per = decided(e, m).groupBy("stage", "decision").agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy("stage"))
+    turned = F.when(F.col("decision").isin("rejected", "deferred"), F.col("n")).otherwise(0)
+    return per.select("stage", "decision", "n", F.floor(turned * 10000 / total).alias("turned_10k"))
 
 
 def control_loop(supply: dict[str, int], shares: dict[str, float], steps: int, tokens: int, seed: int) -> list[tuple[int, str, bool, int]]:
@@ -114,41 +161,21 @@ def plan(m: DataFrame, x: DataFrame) -> DataFrame:
     supply = {r["lane"]: r["n"] for r in shards.groupBy("lane").agg(F.count(F.lit(1)).alias("n")).collect()}
     shares = {r["lane"]: r["share_pct"] for r in x.where("stage = 'foundation'").orderBy("lane").collect()}
     steps = m.sparkSession.createDataFrame(control_loop(supply, shares, 150, 1024, 7), "step int, lane string, forced boolean, at long")
-    numbered = shards.withColumn("at", F.row_number().over(Window.partitionBy("lane").orderBy("shard_id")).cast("long") - 1)
+    place = F.row_number().over(Window.partitionBy("lane").orderBy("shard_id")).cast("long")
+    numbered = shards.withColumn("place", place).where(F.col("place") <= 150).withColumn("at", F.col("place") - 1).drop("place")
     return F.broadcast(steps).join(numbered, ["lane", "at"]).select("step", "lane", "forced", "shard_id")
 
 
 @query("w04_round_robin", "manifest", sql="SELECT step, lane, shard_id FROM range(200) r(step), (SELECT lane, shard_id, row_number() OVER (PARTITION BY lane ORDER BY shard_id) - 1 AS pos, count(*) OVER (PARTITION BY lane) AS n FROM (SELECT DISTINCT lower(trim(capability_lane)) AS lane, shard_id FROM manifest WHERE capability_lane IS NOT NULL)) WHERE pos = step % n")
 def round_robin(m: DataFrame) -> DataFrame:
+    """Shards drawn in turn from each lane; only as many as there are steps are ranked, so a lane of any size is a short list."""
     lanes = m.where("capability_lane is not null").select(F.lower(F.trim("capability_lane")).alias("lane"), "shard_id").distinct()
-    numbered = lanes.withColumn("at", F.row_number().over(Window.partitionBy("lane").orderBy("shard_id")).cast("long") - 1)
+    place = F.row_number().over(Window.partitionBy("lane").orderBy("shard_id")).cast("long")
+    numbered = lanes.withColumn("place", place).where(F.col("place") <= 200).withColumn("at", F.col("place") - 1).drop("place")
     sizes = lanes.groupBy("lane").agg(F.count(F.lit(1)).alias("n")).withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(199).cast("long"))))
     return sizes.withColumn("at", F.pmod("step", "n")).join(numbered, ["lane", "at"]).select("step", "lane", "shard_id")
 
 
-@query("x09_toy_loss", sql="SELECT step, round(300 * pow(0.99, step) * CASE WHEN step < 60 THEN 1.35 WHEN step < 105 THEN 0.95 WHEN step < 128 THEN 0.72 ELSE 0.62 END)::BIGINT AS loss FROM range(150) r(step)")
-def toy_loss(spark: SparkSession) -> DataFrame:
-    step = F.col("step")
-    factor = F.when(step < 60, 1.35).when(step < 105, 0.95).when(step < 128, 0.72).otherwise(0.62)
-    return spark.range(150).toDF("step").select("step", F.round(300 * F.pow(F.lit(0.99), step) * factor).cast("long").alias("loss"))
-
-
-@query("x12_spike", sql="SELECT i, round(1000 * (1 + 3 * exp(-pow((i - 320) / 40.0, 2))))::BIGINT AS g FROM range(641) r(i)")
-def spike(spark: SparkSession) -> DataFrame:
-    return spark.range(641).toDF("i").select("i", F.round(1000 * (1 + 3 * F.exp(-F.pow((F.col("i") - 320) / 40.0, F.lit(2))))).cast("long").alias("g"))
-
-
-@query("x15_accuracy_curve", sql="SELECT l, round(1000 * (80 - 50 * exp(-l / 400.0)))::BIGINT AS acc FROM range(0, 4001, 50) r(l)")
-def accuracy_curve(spark: SparkSession) -> DataFrame:
-    return spark.range(0, 4001, 50).toDF("l").select("l", F.round(1000 * (80 - 50 * F.exp(-F.col("l") / 400.0))).cast("long").alias("acc"))
-
-
-@query("x14_usefulness", "manifest", sql="SELECT badge, count(*) AS n FROM (SELECT CASE WHEN s >= 72 THEN 'star' WHEN s >= 48 THEN 'good' ELSE 'plain' END AS badge FROM (SELECT least(greatest(admission_score * 0.7 + coalesce(benchmark_overlap_pct, 0) * 0.3, 0), 100) AS s FROM manifest)) GROUP BY 1")
-def shard_usefulness(m: DataFrame) -> DataFrame:
-    s = F.least(F.greatest(F.col("admission_score") * 0.7 + F.coalesce("benchmark_overlap_pct", F.lit(0.0)) * 0.3, F.lit(0.0)), F.lit(100.0))
-    return m.groupBy(F.when(s >= 72, "star").when(s >= 48, "good").otherwise("plain").alias("badge")).agg(F.count(F.lit(1)).alias("n"))
-
-
 _ROLE = "^(user|plan|tool_call|observation|response): (.*)$"
 
 
@@ -188,55 +215,94 @@ def concat_chop(d: DataFrame) -> DataFrame:
     return bins.select("bin", "doc_id", (F.greatest(F.col("at"), F.col("bin") * size) - F.col("at")).alias("start"), (F.least(F.col("at") + F.col("n"), (F.col("bin") + 1) * size) - F.col("at")).alias("stop"))
 
 
-def fitted(d: DataFrame, best: bool, size: int = 1024, chunk: int = 20_000) -> DataFrame:
-    """First fit in order of ids, or best fit by falling length, apart in chunks of a lane."""
+class Rooms:
+    """Free room of bins in the order they were opened; finds the first that holds a size in logarithmic time."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.n, self.width = capacity, 0, 1
+        self.tree = [capacity, capacity]
+
+    def first(self, size: int) -> int:
+        """The first bin with room for ``size``, opened if none has it."""
+        at = 1
+        while at < self.width:
+            at = 2 * at if self.tree[2 * at] >= size else 2 * at + 1
+        bin_ = at - self.width
+        if bin_ >= self.n:
+            self.n = bin_ + 1
+        self.tree[at] -= size
+        while at > 1:
+            at //= 2
+            self.tree[at] = max(self.tree[2 * at], self.tree[2 * at + 1])
+        if self.n == self.width:  # all are open: as many more
+            rooms = self.tree[self.width :] + [self.capacity] * self.width
+            self.width *= 2
+            self.tree = [0] * self.width + rooms
+            for i in range(self.width - 1, 0, -1):
+                self.tree[i] = max(self.tree[2 * i], self.tree[2 * i + 1])
+        return bin_
+
+
+def first_fitting(sizes, capacity: int) -> list[int]:
+    """First fit in the order given."""
+    rooms = Rooms(capacity)
+    return [rooms.first(n) for n in sizes]
+
+
+def best_fitting(sizes, capacity: int) -> list[int]:
+    """The bin of each size that it leaves the least room in; of equal rooms the bin opened first."""
+    rooms: list[tuple[int, int]] = []
+    out, opened = [], 0
+    for n in sizes:
+        k = bisect.bisect_left(rooms, (n, -1))
+        if k < len(rooms):
+            room, b = rooms.pop(k)
+        else:
+            room, b, opened = capacity, opened, opened + 1
+        bisect.insort(rooms, (room - n, b))
+        out.append(b)
+    return out
+
+
+def fitted(d: DataFrame, best: bool, size: int = 1024, chunk: int = 1_000_000) -> DataFrame:
+    """``lane``, ``chunk``, ``doc_id``, ``n``, ``bin``: first fit in order of ids, or best fit by falling length.
+
+    Documents above ``size`` are cut to it. Packing is sequential, so a lane of more than
+    ``chunk`` documents is cut by a hash of the id into chunks that are packed apart.
+    """
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n", "doc_id"], ascending=[False, True]) if best else pdf.sort_values("doc_id")
-        bins: list[int] = []
-        rooms: list[tuple[int, int]] = []
-        at = []
-        for n in pdf["n"]:
-            n = min(int(n), size)
-            if best:
-                k = bisect.bisect_left(rooms, (n, -1))
-                room, b = rooms.pop(k) if k < len(rooms) else (size, len(bins))
-                if b == len(bins):
-                    bins.append(0)
-                bisect.insort(rooms, (room - n, b))
-            else:
-                b = next((i for i, used in enumerate(bins) if used + n <= size), len(bins))
-                if b == len(bins):
-                    bins.append(0)
-            bins[b] += n
-            at.append(b)
-        return pdf.assign(bin=at)[["lane", "chunk", "doc_id", "n", "bin"]]
+        sizes = [min(int(n), size) for n in pdf["n"]]
+        return pdf.assign(bin=(best_fitting if best else first_fitting)(sizes, size))[["lane", "chunk", "doc_id", "n", "bin"]]
 
     rows = lengths(d)
-    sizes = rows.groupBy("lane").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).alias("chunks"))
-    cut = rows.join(F.broadcast(sizes), "lane").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks"))).drop("chunks")
+    counts = rows.groupBy("lane").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).alias("chunks"))
+    cut = rows.join(counts, "lane").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks"))).drop("chunks")
     return cut.groupBy("lane", "chunk").applyInPandas(place, "lane string, chunk long, doc_id long, n int, bin long")
 
 
-@query("b04_first_fit", "documents")
-def first_fit(d: DataFrame) -> DataFrame:
-    return fitted(d, best=False, chunk=2_000)
+# First fit and best fit by recursion, a step a document, the rooms of a lane's bins in a list.
+def _fit_sql(order: str, pick: str) -> str:
+    return f"""WITH RECURSIVE l AS (SELECT doc_id, coalesce(lane, 'none') AS lane, {_LEN} AS n FROM documents WHERE {_LEN} > 0), o AS (SELECT *, least(n, 1024) AS size, row_number() OVER (PARTITION BY lane ORDER BY {order}) AS step FROM l),
+r AS (SELECT lane, 0::BIGINT AS step, []::BIGINT[] AS rooms, 0::BIGINT AS bin FROM (SELECT DISTINCT lane FROM o)
+UNION ALL SELECT lane, step, CASE WHEN spot > len(rooms) THEN list_append(rooms, 1024 - size) ELSE list_concat(rooms[1:spot - 1], [rooms[spot] - size], rooms[spot + 1:]) END, spot - 1 FROM
+(SELECT o.lane, o.step, o.size, r.rooms, coalesce({pick}, len(r.rooms) + 1)::BIGINT AS spot FROM r JOIN o ON o.lane = r.lane AND o.step = r.step + 1))
+SELECT o.lane, 0::BIGINT AS chunk, o.doc_id, o.n, r.bin FROM o JOIN r ON r.lane = o.lane AND r.step = o.step"""
 
 
-@query("b05_best_fit", "documents")
-def best_fit(d: DataFrame) -> DataFrame:
-    return fitted(d, best=True)
+_FIRST = "list_min(list_filter(range(1, len(r.rooms) + 1), lambda i: r.rooms[i] >= o.size))"
+_BEST = "list_min(list_transform(list_filter(range(1, len(r.rooms) + 1), lambda i: r.rooms[i] >= o.size), lambda i: r.rooms[i] * 100000000 + i)) % 100000000"
 
 
-@query("b08_masked_sample", "documents", sql=f"""WITH s AS (SELECT doc_id, len(ws) AS n, list_transform(ws[1:{WINDOW_TOKENS}], lambda w: CASE WHEN length(w) > 4 THEN 1 ELSE 0 END) AS m FROM (SELECT doc_id, {_words(_D)} AS ws FROM documents) WHERE len(ws) > 0)
-SELECT doc_id, coalesce(list_sum(m), 0)::BIGINT AS mask_sum, {WINDOW_TOKENS} - len(m) AS padding, sha256(unhex(array_to_string(list_transform(list_concat(m, list_resize([]::INTEGER[], {WINDOW_TOKENS} - len(m), 0)), lambda x: lpad(x::VARCHAR, 2, '0')), ''))) AS mask_hash FROM s""")
-def masked_sample(d: DataFrame) -> DataFrame:
-    """A window per document: loss on longer words only, zeros for padding, and the mask's hash."""
-    mask = F.transform(F.slice(T.words(T.text_of("text")), 1, WINDOW_TOKENS), lambda w: (F.length(w) > 4).cast("int"))
-    rows = d.select("doc_id", mask.alias("m")).where(F.size("m") > 0)
-    pad = F.lit(WINDOW_TOKENS) - F.size("m")
-    whole = F.concat("m", F.array_repeat(F.lit(0), pad))
-    return rows.select("doc_id", F.aggregate("m", F.lit(0), lambda a, x: a + x).cast("long").alias("mask_sum"), pad.cast("long").alias("padding"), H.mask_hash(whole).alias("mask_hash"))
+@query("b04_first_fit", "documents", sql=_fit_sql("doc_id", _FIRST))
+def first_fit(d: DataFrame) -> DataFrame:
+    return fitted(d, best=False).withColumn("n", F.col("n").cast("long"))
+
+
+@query("b05_best_fit", "documents", sql=_fit_sql("n DESC, doc_id", _BEST))
+def best_fit(d: DataFrame) -> DataFrame:
+    return fitted(d, best=True).withColumn("n", F.col("n").cast("long"))
 
 
 @query("w06_position_reset", "documents", sql=f"SELECT lane, sum(n * (n - 1) // 2)::BIGINT AS position_sum, sum(n)::BIGINT AS n FROM (SELECT coalesce(lane, 'none') AS lane, least({_LEN}, {WINDOW_TOKENS}) AS n FROM documents WHERE {_LEN} > 0) GROUP BY lane")
@@ -245,51 +311,6 @@ def position_reset(d: DataFrame) -> DataFrame:
     return spots.groupBy("lane").agg(F.sum("p").alias("position_sum"), F.count(F.lit(1)).alias("n"))
 
 
-@query("f11_causal_pairs", "documents", sql=f"SELECT lane, sum(n * (n + 1) // 2)::BIGINT AS n_pairs FROM (SELECT coalesce(lane, 'none') AS lane, least({_LEN}, {WINDOW_TOKENS}) AS n FROM documents WHERE {_LEN} > 0) GROUP BY lane")
-def causal_pairs(d: DataFrame) -> DataFrame:
-    n = F.least("n", F.lit(WINDOW_TOKENS)).cast("long")
-    return lengths(d).groupBy("lane").agg(F.sum(F.floor(n * (n + 1) / 2)).alias("n_pairs"))
-
-
-@query("b10_padding_lab", "documents", sql=f"SELECT lane, sum(least(n, 128))::BIGINT AS useful, sum(greatest(128 - n, 0))::BIGINT AS pads, sum(greatest(n - 128, 0))::BIGINT AS cropped FROM (SELECT coalesce(lane, 'none') AS lane, {_LEN} AS n FROM documents WHERE {_LEN} > 0) GROUP BY lane")
-def padding_lab(d: DataFrame) -> DataFrame:
-    n = F.col("n")
-    return lengths(d).groupBy("lane").agg(F.sum(F.least(n, F.lit(128))).alias("useful"), F.sum(F.greatest(128 - n, F.lit(0))).alias("pads"), F.sum(F.greatest(n - 128, F.lit(0))).alias("cropped"))
-
-
-@query("b12_batch_arithmetic", sql="SELECT g AS gpus, g * 2 * 16 AS global_batch, g * 2 * 16 * 128 AS step_tokens, g * 2 * 16 * 128 * 10 AS checkpoint_tokens FROM (VALUES (1), (8), (64)) t(g)")
-def batch_arithmetic(spark: SparkSession) -> DataFrame:
-    g = F.col("gpus")
-    return spark.createDataFrame([(1,), (8,), (64,)], "gpus int").select("gpus", (g * 32).alias("global_batch"), (g * 32 * 128).alias("step_tokens"), (g * 32 * 1280).alias("checkpoint_tokens"))
-
-
-_THROUGH = "least(1.8, 0.35 + log2(w + 1) / 4 + p / 30.0)"
-
-
-@query("l17_throughput", sql=f"SELECT w AS workers, p AS prefetch, s AS shard_mb, round(1000 * 1800 * 0.76 * {_THROUGH} * CASE WHEN s < 256 THEN 0.72 WHEN s > 3072 THEN 0.88 ELSE 1 END)::BIGINT AS rate FROM (VALUES (0), (4), (18), (64)) a(w), (VALUES (0), (6), (30)) b(p), (VALUES (128), (1024), (4096)) c(s)")
-def throughput(spark: SparkSession) -> DataFrame:
-    grid = spark.createDataFrame([(w, p, s) for w in (0, 4, 18, 64) for p in (0, 6, 30) for s in (128, 1024, 4096)], "workers int, prefetch int, shard_mb int")
-    factor = F.least(F.lit(1.8), 0.35 + F.log2(F.col("workers") + 1) / 4 + F.col("prefetch") / 30.0)
-    penalty = F.when(F.col("shard_mb") < 256, 0.72).when(F.col("shard_mb") > 3072, 0.88).otherwise(1.0)
-    return grid.withColumn("rate", F.round(1000 * 1800 * 0.76 * factor * penalty).cast("long"))
-
-
-@query("l19_advice", "ledger", sql="SELECT advice, count(*) AS n FROM (SELECT CASE WHEN microbatch_count < 2 THEN 'pack' WHEN rank > 5 THEN 'reject' WHEN seq_len < 1024 THEN 'shard' ELSE 'healthy' END AS advice FROM ledger) GROUP BY 1")
-def advice(e: DataFrame) -> DataFrame:
-    return e.groupBy(F.when(F.col("microbatch_count") < 2, "pack").when(F.col("rank") > 5, "reject").when(F.col("seq_len") < 1024, "shard").otherwise("healthy").alias("advice")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("l21_readiness", "manifest", sql="SELECT sum(CASE WHEN license_tier = 'safe' THEN 3 WHEN license_tier = 'review' THEN 1 ELSE 0 END)::BIGINT AS points, count(*) * 3 AS most FROM manifest")
-def readiness(m: DataFrame) -> DataFrame:
-    points = F.when(F.col("license_tier") == "safe", 3).when(F.col("license_tier") == "review", 1).otherwise(0)
-    return m.agg(F.sum(points).alias("points"), (F.count(F.lit(1)) * 3).alias("most"))
-
-
-@query("a18_perplexity_bands", "events", sql="SELECT event_type, count(*) FILTER (WHERE value >= 60) AS hot, count(*) AS n FROM events GROUP BY 1")
-def perplexity_bands(e: DataFrame) -> DataFrame:
-    return e.groupBy("event_type").agg(F.count_if(F.col("value") >= 60).alias("hot"), F.count(F.lit(1)).alias("n"))
-
-
 # -- shares, lookups and comparisons ---------------------------------------------------------------
 
 
@@ -318,37 +339,6 @@ def role_slots(d: DataFrame) -> DataFrame:
     return spots.groupBy((F.col("i") % 8).cast("long").alias("wrapped")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("i") < 8).alias("kept"), F.count_if(ends).alias("at_ends"))
 
 
-@query("b09_microbatches", "ledger", sql="WITH e AS (SELECT DISTINCT ON (ledger_offset) * FROM ledger) SELECT ledger_offset // 4 AS microbatch, count(*) AS n, string_agg(loss_mask_hash, ',' ORDER BY ledger_offset) AS masks, sum(seq_len)::BIGINT AS tokens FROM e GROUP BY 1")
-def microbatches(e: DataFrame) -> DataFrame:
-    """Four samples a microbatch, each field gathered in order."""
-    rows = e.dropDuplicates(["ledger_offset"]).groupBy(F.floor(F.col("ledger_offset") / 4).alias("microbatch"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("ledger_offset", "loss_mask_hash"))), lambda x: x["loss_mask_hash"])
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.array_join(listed, ",").alias("masks"), F.sum("seq_len").alias("tokens"))
-
-
-@query("l09_resume_matches", "ledger", sql="""WITH e AS (SELECT DISTINCT ON (ledger_offset) * FROM ledger), k AS (SELECT run_branch_id, ledger_offset, row_number() OVER (PARTITION BY run_branch_id ORDER BY ledger_offset) AS step FROM e)
-SELECT run_branch_id, count(*) FILTER (WHERE step > 10) AS redone, bool_and(step <= 10 OR step - 10 >= 1) AS matched FROM k GROUP BY 1""")
-def resume_matches(e: DataFrame) -> DataFrame:
-    """Rolled back to its tenth commit and run again, a branch repeats exactly the offsets it had after it."""
-    step = F.row_number().over(Window.partitionBy("run_branch_id").orderBy("ledger_offset"))
-    rows = e.dropDuplicates(["ledger_offset"]).select("run_branch_id", "ledger_offset", step.alias("step"))
-    kept, again = rows.where("step <= 10"), rows.where("step > 10")
-    both = kept.unionByName(again).groupBy("run_branch_id", "ledger_offset").agg(F.max("step").alias("step"), F.count(F.lit(1)).alias("times"))
-    return both.groupBy("run_branch_id").agg(F.count_if(F.col("step") > 10).alias("redone"), F.min(F.col("times") == 1).alias("matched"))
-
-
-@query("l20_confidence", "mixture", sql="SELECT lane, greatest(0, 100 - max(share_pct) - count(*) * 5) AS confidence FROM mixture GROUP BY lane")
-def confidence(m: DataFrame) -> DataFrame:
-    return m.groupBy("lane").agg(F.greatest(F.lit(0.0), 100 - F.max("share_pct") - F.count(F.lit(1)) * 5).alias("confidence"))
-
-
-@query("l24_token_loss", "events", sql="SELECT CASE WHEN l < 6 THEN 'low' WHEN l < 14 THEN 'fair' WHEN l < 28 THEN 'warm' WHEN l < 60 THEN 'hot' ELSE 'top' END AS band, count(*) AS n FROM (SELECT CASE WHEN event_type = 'view' THEN greatest(value * 0.28, 0.05) ELSE value END AS l FROM events) GROUP BY 1")
-def token_loss(e: DataFrame) -> DataFrame:
-    loss = F.when(F.col("event_type") == "view", F.greatest(F.col("value") * 0.28, F.lit(0.05))).otherwise(F.col("value"))
-    band = F.when(loss < 6, "low").when(loss < 14, "fair").when(loss < 28, "warm").when(loss < 60, "hot").otherwise("top")
-    return e.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("x02_profile_lookup", "ledger", "mixture", sql="SELECT e.curriculum_stage AS stage, e.mixture_lane AS lane, max(m.share_pct) AS share_pct, count(*) AS n FROM ledger e LEFT JOIN mixture m ON m.stage = e.curriculum_stage AND m.lane = e.mixture_lane GROUP BY ALL")
 def profile_lookup(e: DataFrame, m: DataFrame) -> DataFrame:
     counts = e.groupBy(F.col("curriculum_stage").alias("stage"), F.col("mixture_lane").alias("lane")).agg(F.count(F.lit(1)).alias("n"))

@@ -196,19 +196,136 @@ def bidirectional(e: DataFrame) -> DataFrame:
     return strongest(q.join(k, "seq").where("i != j").select("seq", "i", "j", dot("q", "k").alias("score")))
 
 
-@query("n15_grouped_heads", "embeddings", sql="SELECT vec_id, round(1000 * sqrt(list_sum(list_transform(range(1, 33), lambda i: pow((embedding[i] + embedding[i + 32]) / 2.0::DOUBLE, 2)))))::BIGINT AS pooled FROM (SELECT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings)")
+def grouped_scores(e: DataFrame, heads: int, groups: int) -> DataFrame:
+    """``seq``, ``i``, ``j``, ``head``, ``score`` where the query heads of a group share one key head, the mean of theirs."""
+    rows = e.select(F.floor(F.col("vec_id") / LENGTH).alias("seq"), F.pmod("vec_id", F.lit(LENGTH)).alias("p"), _heads(F.col("embedding"), heads).alias("h"))
+    per = heads // groups
+    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y.cast("double"))
+    zero = lambda h: F.transform(h[0], lambda x: F.lit(0.0))
+    pooled = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: F.transform(F.aggregate(F.slice("h", g * per + 1, F.lit(per)), zero(F.col("h")), add), lambda x: x / per))
+    q = rows.select("seq", F.col("p").alias("i"), F.posexplode("h").alias("head", "q"))
+    k = rows.select("seq", F.col("p").alias("j"), F.posexplode(pooled).alias("g", "k"))
+    met = q.join(k, (q["seq"] == k["seq"]) & (F.floor(q["head"] / per) == k["g"]) & (k["j"] <= q["i"])).drop(k["seq"])
+    return met.select("seq", "i", "j", "head", (dot("q", "k") / F.sqrt(F.size("q"))).alias("score"))
+
+
+def _grouped_sql(heads: int, groups: int) -> str:
+    per, size = heads // groups, 64 // heads
+    key = " + ".join(f"x[(g * {per} + {m}) * {size} + c]" for m in range(per))
+    return f"""WITH p AS (SELECT vec_id // {LENGTH} AS seq, vec_id % {LENGTH} AS p, embedding::DOUBLE[] AS x FROM embeddings),
+q AS (SELECT seq, p AS i, h AS head, x[h * {size} + 1:(h + 1) * {size}] AS q FROM p, range({heads}) r(h)), k AS (SELECT seq, p AS j, g, list_transform(range(1, {size} + 1), lambda c: ({key}) / {per}.0::DOUBLE) AS k FROM p, range({groups}) r(g)),
+s AS (SELECT q.seq, i, j, head, list_dot_product(q, k) / sqrt({size}) AS score FROM q JOIN k ON q.seq = k.seq AND head // {per} = g AND j <= i) SELECT seq, i, head, arg_min(j, (-score, j)) AS best FROM s GROUP BY ALL"""
+
+
+def _best(scored: DataFrame) -> DataFrame:
+    return scored.groupBy("seq", "i", F.col("head").cast("long").alias("head")).agg(F.min_by("j", F.struct(-F.col("score"), "j")).alias("best"))
+
+
+@query("n15_grouped_heads", "embeddings", sql=_grouped_sql(8, 2))
 def grouped_heads(e: DataFrame) -> DataFrame:
-    """Key heads pooled by their mean: two halves of each vector stand for two heads of one group."""
-    h = _heads(F.col("embedding"), 2)
-    mean = F.zip_with(h[0], h[1], lambda a, b: (a.cast("double") + b.cast("double")) / 2)
-    return e.select("vec_id", F.round(1000 * F.sqrt(dot(mean, mean))).cast("long").alias("pooled"))
+    """Eight query heads over two key heads."""
+    return _best(grouped_scores(e, 8, 2))
 
 
-@query("n07_shared_key_head", "embeddings", sql="SELECT vec_id, round(1000000 * abs(list_sum(embedding[1:8])))::BIGINT // 10 AS shared FROM (SELECT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings)")
+@query("n07_shared_key_head", "embeddings", sql=_grouped_sql(8, 1))
 def shared_key_head(e: DataFrame) -> DataFrame:
-    first = _heads(F.col("embedding"), 8)[0]
-    total = F.aggregate(first, F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return e.select("vec_id", F.floor(F.round(1000000 * F.abs(total)) / 10).alias("shared"))
+    """Eight query heads over a single key head."""
+    return _best(grouped_scores(e, 8, 1))
+
+
+def chunked_delta(xs, beta: float = 0.5, size: int = 8):
+    """Read-outs of the delta rule worked off in chunks: inside one, a triangular system stands for the steps."""
+    import numpy as np
+
+    state = np.zeros((xs.shape[1], xs.shape[1]))
+    out = []
+    for at in range(0, len(xs), size):
+        k = xs[at : at + size]
+        inner = k @ k.T
+        # u solves (I + beta * lower(K K')) u = beta * (V - K S'): what each step of the chunk writes
+        u = np.linalg.solve(np.eye(len(k)) + beta * np.tril(inner, -1), beta * (k - k @ state.T))
+        out.append(k @ state.T + np.tril(inner) @ u)
+        state = state + u.T @ k
+    return np.concatenate(out) if out else np.zeros_like(xs)
+
+
+@query("n22_chunked_delta", "embeddings")
+def delta_in_chunks(e: DataFrame) -> DataFrame:
+    """Per sequence the largest difference between the delta rule step by step and in chunks: nothing to speak of."""
+    import numpy as np
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("p", kind="stable")
+        xs = np.stack([np.asarray(x, np.float64) for x in pdf["embedding"]])
+        xs = xs / np.maximum(np.linalg.norm(xs, axis=1, keepdims=True), 1e-300)
+        state, reads = np.zeros((xs.shape[1], xs.shape[1])), []
+        for x in xs:
+            state, read = delta_step(state, x)
+            reads.append(read)
+        gap = np.abs(np.stack(reads) - chunked_delta(xs)).max()
+        return pd.DataFrame({"seq": [pdf["seq"].iloc[0]], "n": [len(xs)], "same": [bool(gap < 1e-9)]})
+
+    rows = e.select(F.floor(F.col("vec_id") / LENGTH).alias("seq"), F.pmod("vec_id", F.lit(LENGTH)).alias("p"), "embedding")
+    return rows.groupBy("seq").applyInPandas(run, "seq long, n long, same boolean")
+
+
+@query("n21_latent_compression", "embeddings")
+def latent_compression(e: DataFrame) -> DataFrame:
+    """How much of the keys' energy a latent of each rank holds: ``rank`` and ``held_10k``.
+
+    Every partition sums its outer products; the driver sees one small matrix a partition
+    of the sum tree, never a vector.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            column = batch.column(0)
+            if not len(column):
+                continue
+            x = np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+            total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            cells = total.ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells))), pa.array(cells)], names=["cell", "v"])
+
+    sums = e.where(F.col("embedding").isNotNull()).select("embedding").mapInArrow(run, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect()
+    if not sums:
+        return e.sparkSession.createDataFrame([], "rank int, held_10k long")
+    size = int(round(len(sums) ** 0.5))
+    cells = np.zeros(size * size)
+    for r in sums:
+        cells[r["cell"]] = r["v"]
+    values = np.clip(np.linalg.eigvalsh(cells.reshape(size, size))[::-1], 0, None)
+    held = np.cumsum(values) / max(values.sum(), 1e-300)
+    return e.sparkSession.createDataFrame([(k + 1, int(round(10_000 * v))) for k, v in enumerate(held.tolist())], "rank int, held_10k long")
+
+
+_INDEXED = f"""{_PREFIX}, w AS (SELECT seq, i, j, d / 8 AS score, greatest(list_dot_product(q.x[1:16], k.x[1:16]), 0) + greatest(list_dot_product(q.x[17:32], k.x[17:32]), 0) AS idx FROM s JOIN p q USING (seq) JOIN p k ON k.seq = s.seq AND k.p = s.j WHERE q.p = s.i),
+r AS (SELECT *, row_number() OVER (PARTITION BY seq, i ORDER BY idx DESC, j) <= 4 AS taken, max(score) OVER (PARTITION BY seq, i) AS top FROM w)
+SELECT seq, i, round(1000 * ln(sum(exp(score - top)) / sum(exp(score - top)) FILTER (WHERE taken)))::BIGINT AS divergence FROM r GROUP BY seq, i"""
+
+
+@query("n25_indexer", "embeddings", sql=_INDEXED)
+def indexed(e: DataFrame) -> DataFrame:
+    """What is lost when each position reads only the four keys that a small index of two heads picks.
+
+    The index sums the positive products of two short heads; the loss is the divergence of
+    the weights over the chosen keys from the full softmax, the log of the share they hold.
+    """
+    rows = e.select(F.floor(F.col("vec_id") / LENGTH).alias("seq"), F.pmod("vec_id", F.lit(LENGTH)).alias("p"), "embedding")
+    q, k = rows.withColumnsRenamed({"p": "i", "embedding": "q"}), rows.withColumnsRenamed({"p": "j", "embedding": "k"})
+    met = q.join(k, "seq").where(F.col("j") <= F.col("i"))
+    head = lambda c, n: F.slice(c, 16 * n + 1, 16)
+    index = sum((F.greatest(dot(head("q", n), head("k", n)), F.lit(0.0)) for n in (0, 1)), F.lit(0.0))
+    scored = met.select("seq", "i", "j", (dot("q", "k") / F.sqrt(F.size("q"))).alias("score"), index.alias("idx"))
+    row = Window.partitionBy("seq", "i")
+    ranked = scored.withColumns({"taken": F.row_number().over(row.orderBy(F.desc("idx"), "j")) <= 4, "top": F.max("score").over(row)})
+    x = F.exp(F.col("score") - F.col("top"))
+    return ranked.groupBy("seq", "i").agg(F.round(1000 * F.log(F.sum(x) / F.sum(F.when(F.col("taken"), x)))).cast("long").alias("divergence"))
 
 
 _SPOTS = "range(64) p(p), range(0, 64, 2) d(d)"

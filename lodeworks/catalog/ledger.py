@@ -91,7 +91,7 @@ def span_lookup(e: DataFrame, m: DataFrame) -> DataFrame:
     )
 
 
-@query("l10_replay", "ledger", sql=f"WITH {_E}, {_SPANS}, r AS (SELECT ledger_offset, string_agg(p[1], ',' ORDER BY i) AS shards FROM spans GROUP BY 1) SELECT e.ledger_offset, array_to_string(e.shard_ids, ',') = r.shards AS matched FROM e JOIN r USING (ledger_offset)")
+@query("l13_spans_match_shards", "ledger", sql=f"WITH {_E}, {_SPANS}, r AS (SELECT ledger_offset, string_agg(p[1], ',' ORDER BY i) AS shards FROM spans GROUP BY 1) SELECT e.ledger_offset, array_to_string(e.shard_ids, ',') = r.shards AS matched FROM e JOIN r USING (ledger_offset)")
 def replay(e: DataFrame) -> DataFrame:
     rebuilt = spans(e).groupBy("ledger_offset").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "shard_id"))), lambda x: x["shard_id"]).alias("rebuilt"))
     return events(e).join(rebuilt, "ledger_offset").select("ledger_offset", (F.array_join("shard_ids", ",") == F.array_join("rebuilt", ",")).alias("matched"))
@@ -126,24 +126,91 @@ def violations(e: DataFrame) -> DataFrame:
     )
 
 
-@query("l15_evidence", "ledger", "manifest", sql=f"""WITH {_E}, used AS (SELECT DISTINCT unnest(shard_ids) AS shard_id FROM e), blocked AS (SELECT DISTINCT shard_id FROM manifest WHERE admission = 'blocked')
-SELECT 'offsets_complete' AS requirement, (SELECT count(*) = max(ledger_offset) + 1 FROM e) AS passed, (SELECT count(*) FROM e) AS detail
-UNION ALL SELECT 'no_blocked_shard_used', (SELECT count(*) = 0 FROM used SEMI JOIN blocked USING (shard_id)), (SELECT count(*) FROM used SEMI JOIN blocked USING (shard_id))
-UNION ALL SELECT 'all_shards_known', (SELECT count(*) = 0 FROM used ANTI JOIN manifest USING (shard_id)), (SELECT count(*) FROM used ANTI JOIN manifest USING (shard_id))
-UNION ALL SELECT 'decisions_logged', (SELECT count(*) = 0 FROM e WHERE opus_decision_id IS NULL), (SELECT count(*) FROM e WHERE opus_decision_id IS NULL)""")
-def evidence(e: DataFrame, m: DataFrame) -> DataFrame:
+#: Points by which a lane's share may differ from the plan.
+DRIFT = 8
+_CHECKS = """
+used AS (SELECT DISTINCT unnest(shard_ids) AS shard_id FROM e), v AS (SELECT ledger_offset, bool_or(p[3]::BIGINT <= p[2]::BIGINT) AS empty_span, sum(p[3]::BIGINT - p[2]::BIGINT) AS used, string_agg(p[1], ',' ORDER BY i) AS named FROM spans GROUP BY 1),
+plan AS (SELECT lane, sum((band_hi - band_lo) * share_pct) AS planned FROM mixture GROUP BY 1), got AS (SELECT mixture_lane AS lane, count(*) AS n, sum(count(*)) OVER () AS total FROM e WHERE mixture_lane IS NOT NULL GROUP BY 1),
+checks(requirement, detail) AS (
+SELECT 'tokenizer_integrity', (SELECT count(DISTINCT tokenizer_hash) - 1 FROM manifest)
+UNION ALL SELECT 'evaluation_firewall', (SELECT count(*) FROM used SEMI JOIN (SELECT shard_id FROM manifest WHERE eval_overlap_status IS DISTINCT FROM 'clear' AND admission = 'blocked') USING (shard_id))
+UNION ALL SELECT 'data_cleaning', (SELECT count(*) FROM manifest WHERE starts_with(dedup_status, 'near_duplicate') AND admission = 'admitted')
+UNION ALL SELECT 'packing_correctness', (SELECT count(*) FROM e LEFT JOIN v USING (ledger_offset) WHERE coalesce(empty_span, false) OR coalesce(used, 0) > seq_len OR len(shard_ids) <> len(token_span_ids) OR length(coalesce(loss_mask_hash, '')) <> 64)
+UNION ALL SELECT 'mixture_compliance', (SELECT count(*) FROM plan LEFT JOIN got USING (lane) WHERE abs(coalesce(100.0 * n / total, 0) - planned) > 8)
+UNION ALL SELECT 'decision_audit', (SELECT count(*) FROM e WHERE opus_decision_id IS NULL)
+UNION ALL SELECT 'crash_recovery', (SELECT count(*) - count(DISTINCT ledger_offset) + max(ledger_offset) + 1 - count(DISTINCT ledger_offset) FROM ledger WHERE event = 'batch_committed')
+UNION ALL SELECT 'replay', (SELECT count(*) FROM e JOIN v USING (ledger_offset) WHERE array_to_string(shard_ids, ',') <> named)
+UNION ALL SELECT 'learning_trace', (SELECT count(*) FROM used ANTI JOIN manifest USING (shard_id))
+UNION ALL SELECT 'throughput', (SELECT count(*) FROM e WHERE seq_len IS NULL OR seq_len <= 0 OR microbatch_count IS NULL OR microbatch_count <= 0))"""
+
+
+@query("l15_evidence", "ledger", "manifest", "mixture", sql=f"WITH {_E}, {_SPANS}, {_CHECKS} SELECT requirement, detail::BIGINT AS detail, CASE WHEN detail = 0 THEN 'PASS' ELSE 'FAIL' END AS result FROM checks")
+def evidence(e: DataFrame, m: DataFrame, x: DataFrame) -> DataFrame:
+    """Ten requirements, each with how many rows speak against it; none may."""
     once = events(e)
     used = once.select(F.explode("shard_ids").alias("shard_id")).distinct()
-    blocked = m.where("admission = 'blocked'").select("shard_id").distinct()
-    row = lambda df, name, ok: df.select(F.lit(name).alias("requirement"), ok.alias("passed"), F.col("n").alias("detail"))
-    none = F.col("n") == 0
-    count = F.count(F.lit(1)).alias("n")
-    return (
-        row(once.agg(count, F.max("ledger_offset").alias("m")), "offsets_complete", F.col("n") == F.col("m") + 1)
-        .union(row(used.join(blocked, "shard_id", "left_semi").agg(count), "no_blocked_shard_used", none))
-        .union(row(used.join(m.select("shard_id").distinct(), "shard_id", "left_anti").agg(count), "all_shards_known", none))
-        .union(row(once.where("opus_decision_id is null").agg(count), "decisions_logged", none))
-    )
+    n = F.count(F.lit(1)).alias("detail")
+    count = lambda df: df.agg(n)
+    tripped = m.where(~F.col("eval_overlap_status").eqNullSafe("clear") & (F.col("admission") == "blocked")).select("shard_id").distinct()
+    wrong = violations(e).where("empty_span or over_full or uneven or bad_hash")
+    planned = x.groupBy("lane").agg(F.sum((F.col("band_hi") - F.col("band_lo")) * F.col("share_pct")).alias("planned"))
+    got = once.where("mixture_lane is not null").groupBy(F.col("mixture_lane").alias("lane")).agg(F.count(F.lit(1)).alias("n"))
+    total = got.agg(F.sum("n").alias("total"))
+    drift = planned.join(got, "lane", "left").join(F.broadcast(total)).where(F.abs(F.coalesce(100.0 * F.col("n") / F.col("total"), F.lit(0.0)) - F.col("planned")) > DRIFT)
+    committed = no_skip(e.where("event = 'batch_committed'"))
+    checks = {
+        "tokenizer_integrity": m.agg((F.countDistinct("tokenizer_hash") - 1).alias("detail")),
+        "evaluation_firewall": count(used.join(tripped, "shard_id", "left_semi")),
+        "data_cleaning": count(m.where(F.col("dedup_status").startswith("near_duplicate") & (F.col("admission") == "admitted"))),
+        "packing_correctness": count(wrong),
+        "mixture_compliance": count(drift),
+        "decision_audit": count(once.where("opus_decision_id is null")),
+        "crash_recovery": committed.select((F.col("n") - F.col("n_distinct") + F.col("high") + 1 - F.col("n_distinct")).alias("detail")),
+        "replay": count(replay(e).where("not matched")),
+        "learning_trace": count(used.join(m.select("shard_id").distinct(), "shard_id", "left_anti")),
+        "throughput": count(once.where("seq_len is null or seq_len <= 0 or microbatch_count is null or microbatch_count <= 0")),
+    }
+    out = None
+    for name, df in checks.items():
+        row = df.select(F.lit(name).alias("requirement"), F.col("detail").cast("long").alias("detail"))
+        out = row if out is None else out.union(row)
+    return out.withColumn("result", F.when(F.col("detail") == 0, "PASS").otherwise("FAIL"))
+
+
+@query("l16_evidence_markdown", "ledger", "manifest", "mixture")
+def evidence_markdown(e: DataFrame, m: DataFrame, x: DataFrame) -> DataFrame:
+    """The evidence as the lines of a Markdown table, in order."""
+    rows = evidence(e, m, x).withColumn("line", F.concat(F.lit("| "), "requirement", F.lit(" | "), "result", F.lit(" | "), F.col("detail").cast("string"), F.lit(" |")))
+    head = e.sparkSession.createDataFrame([(0, "| requirement | result | against |"), (1, "|---|---|---|")], "at int, line string")
+    at = F.row_number().over(Window.orderBy("requirement")).cast("int") + 1  # ten rows
+    return head.union(rows.select(at.alias("at"), "line"))
+
+
+@query("j09_packed_mismatch", "ledger", sql="SELECT ledger_offset, count(*) AS times, count(DISTINCT coalesce(loss_mask_hash, '-') || array_to_string(token_span_ids, ',')) > 1 AS differs FROM ledger WHERE event = 'batch_committed' GROUP BY 1 HAVING count(*) > 1")
+def packed_mismatch(e: DataFrame) -> DataFrame:
+    """Offsets written more than once, and whether what was written differs."""
+    what = F.concat(F.coalesce("loss_mask_hash", F.lit("-")), F.array_join("token_span_ids", ","))
+    per = e.where("event = 'batch_committed'").groupBy("ledger_offset").agg(F.count(F.lit(1)).alias("times"), (F.min(what) != F.max(what)).alias("differs"))
+    return per.where("times > 1")
+
+
+@query("j11_unknown_shards", "ledger", "manifest", sql=f"WITH {_E} SELECT shard_id, count(*) AS n FROM (SELECT unnest(shard_ids) AS shard_id FROM e) ANTI JOIN manifest USING (shard_id) GROUP BY 1")
+def unknown_shards(e: DataFrame, m: DataFrame) -> DataFrame:
+    """Shards that batches name and no manifest knows."""
+    per = events(e).select(F.explode("shard_ids").alias("shard_id")).groupBy("shard_id").agg(F.count(F.lit(1)).alias("n"))
+    return per.join(m.select("shard_id").distinct(), "shard_id", "left_anti")
+
+
+@query("l05_checkpoint_records", "ledger", sql=f"WITH {_E} SELECT 'ckpt-' || run_branch_id || '-' || ledger_offset AS checkpoint_id, ledger_offset, 'ledger_offset_' || ledger_offset AS dataloader_state, sha256('{{\"loss\": 0, \"step\": ' || global_step || '}}') AS model_state_hash, sha256('{{\"lr\": 0.0003, \"step\": ' || global_step || '}}') AS optimizer_state_hash FROM e WHERE (ledger_offset + 1) % {INTERVAL} = 0")
+def checkpoint_records(e: DataFrame) -> DataFrame:
+    """A record per checkpoint, its states hashed as JSON with sorted keys."""
+    at = F.col("ledger_offset").cast("string")
+    state = lambda head: F.sha2(F.concat(F.lit(head), F.col("global_step").cast("string"), F.lit("}")), 256)
+    due = events(e).where(F.pmod(F.col("ledger_offset") + 1, F.lit(INTERVAL)) == 0)
+    return due.select(
+        F.concat(F.lit("ckpt-"), "run_branch_id", F.lit("-"), at).alias("checkpoint_id"), "ledger_offset", F.concat(F.lit("ledger_offset_"), at).alias("dataloader_state"),
+        state('{"loss": 0, "step": ').alias("model_state_hash"), state('{"lr": 0.0003, "step": ').alias("optimizer_state_hash"),
+    )
 
 
 @query("j08_trained_blocked", "ledger", "manifest", sql="SELECT DISTINCT shard_id FROM (SELECT unnest(shard_ids) AS shard_id FROM ledger) SEMI JOIN (SELECT shard_id FROM manifest WHERE admission = 'blocked') USING (shard_id)")
@@ -176,11 +243,6 @@ def utilization(e: DataFrame) -> DataFrame:
     return events(e).join(per, "ledger_offset").groupBy(F.col("position_policy").alias("policy")).agg(F.sum(F.least("used", F.col("seq_len").cast("long"))).alias("used"), F.sum("seq_len").alias("capacity"))
 
 
-@query("l02_usefulness", "ledger", sql=f"WITH {_E} SELECT CASE WHEN seq_len < 1024 THEN 'useful' WHEN seq_len < 2048 THEN 'review' ELSE 'delay' END AS class, count(*) AS n FROM e GROUP BY 1")
-def usefulness(e: DataFrame) -> DataFrame:
-    return events(e).groupBy(F.when(F.col("seq_len") < 1024, "useful").when(F.col("seq_len") < 2048, "review").otherwise("delay").alias("class")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("io05_late_events", "ledger", sql="SELECT run_branch_id, count(*) AS n, count(created_at) AS dated, min(created_at)::TIMESTAMP AS first FROM ledger GROUP BY 1")
 def late_events(e: DataFrame) -> DataFrame:
     return e.groupBy("run_branch_id").agg(F.count(F.lit(1)).alias("n"), F.count("created_at").alias("dated"), F.min("created_at").alias("first"))

@@ -121,11 +121,17 @@ def duplicate_lookup(m: DataFrame) -> DataFrame:
     return named.join(known, F.col("k") == F.col("of_id"), "left").groupBy(F.col("of_id").isNotNull().alias("named"), F.col("k").isNotNull().alias("known")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a04_lane_shares", "manifest", sql="SELECT lane, t AS tokens, t * 10000 // sum(t) OVER () AS per_10k FROM (SELECT coalesce(lower(trim(capability_lane)), 'none') AS lane, coalesce(sum(token_count), 0)::BIGINT AS t FROM manifest WHERE token_count BETWEEN 1 AND 50000 GROUP BY 1)")
-def lane_shares(m: DataFrame) -> DataFrame:
-    per = m.where("token_count between 1 and 50000").groupBy(F.coalesce(F.lower(F.trim("capability_lane")), F.lit("none")).alias("lane")).agg(F.sum("token_count").alias("tokens"))
+@query("a04_lane_shares", "manifest", "run_pipeline", sql="""WITH s AS (SELECT doc_id, max(octet_length(encode(text))) AS bytes FROM run_pipeline WHERE text IS NOT NULL GROUP BY 1),
+r AS (SELECT coalesce(lower(trim(capability_lane)), 'none') AS lane, token_count AS n, token_count > 0 AND (bytes IS NULL OR token_count <= bytes) AS fit FROM manifest LEFT JOIN s ON s.doc_id = doc_ids[1])
+SELECT lane, t AS tokens, t * 10000 // sum(t) OVER () AS per_10k, left_out FROM (SELECT lane, coalesce(sum(n) FILTER (WHERE fit), 0)::BIGINT AS t, count(*) FILTER (WHERE NOT coalesce(fit, false)) AS left_out FROM r GROUP BY 1)""")
+def lane_shares(m: DataFrame, d: DataFrame) -> DataFrame:
+    """Tokens and share of each lane; counts that are null, not positive or above the bytes of their record are left out, and counted."""
+    sizes = d.where("text is not null").groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("bytes"))
+    rows = m.select(F.coalesce(F.lower(F.trim("capability_lane")), F.lit("none")).alias("lane"), "token_count", F.col("doc_ids")[0].alias("doc_id")).join(sizes, "doc_id", "left")
+    fit = F.coalesce((F.col("token_count") > 0) & (F.col("bytes").isNull() | (F.col("token_count") <= F.col("bytes"))), F.lit(False))
+    per = rows.groupBy("lane").agg(F.coalesce(F.sum(F.when(fit, F.col("token_count"))), F.lit(0)).alias("tokens"), F.count_if(~fit).alias("left_out"))
     total = per.agg(F.sum("tokens").alias("total"))
-    return per.join(F.broadcast(total)).select("lane", "tokens", F.floor(F.col("tokens") * 10000 / F.col("total")).alias("per_10k"))
+    return per.join(F.broadcast(total)).select("lane", "tokens", F.floor(F.col("tokens") * 10000 / F.col("total")).alias("per_10k"), "left_out")
 
 
 @query("s_set_operations", "manifest", "ledger", sql="""WITH a AS (SELECT DISTINCT shard_id FROM manifest), b AS (SELECT DISTINCT unnest(shard_ids) AS shard_id FROM ledger)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions import text as T
 from lodeworks.operators import cleaning, masking, vocabulary
+from lodeworks.plans.cleaning import clean
 from lodeworks.registry import query
 
 WS = T.WS
@@ -66,6 +67,22 @@ def normalize(d: DataFrame) -> DataFrame:
     return d.select("doc_id", made.alias("normal"), F.array_join(ops, ",").alias("ops"))
 
 
+@query("t06_normalize_full", "documents")
+def normalize_full(d: DataFrame) -> DataFrame:
+    return cleaning.fully_normal(d).select("doc_id", "normal", F.array_join("ops", ",").alias("ops"))
+
+
+@query("t07_normalize_full_stats", "documents")
+def normalize_full_stats(d: DataFrame) -> DataFrame:
+    """Documents changed by any of the five steps, characters removed, and how many documents each step changed."""
+    made = cleaning.fully_normal(d)
+    steps = ("html_unescape", "nfc", "strip_noise", "strip_control", "collapse_ws")
+    return made.agg(
+        F.count_if(F.col("normal") != F.col("raw")).alias("docs_modified"), F.sum(F.greatest(F.lit(0), F.length("raw") - F.length("normal"))).alias("chars_removed"),
+        F.sum(F.length("raw") - F.length(T.strip_noise(F.col("raw")))).alias("zero_width_removed"), *(F.count_if(F.array_contains("ops", s)).alias(s) for s in steps),
+    )
+
+
 @query("t07_normalize_stats", "documents", sql=f"""WITH {_NORMAL} SELECT count(*) FILTER (WHERE c <> raw) AS docs_modified,
 sum(greatest(0, length(raw) - length(c)))::BIGINT AS chars_removed, sum(length(raw) - {_gone('raw', _NOISE)})::BIGINT AS zero_width_removed FROM normal""")
 def normalize_stats(d: DataFrame) -> DataFrame:
@@ -214,6 +231,21 @@ def unify_conversation(d: DataFrame) -> DataFrame:
     return cleaning.conversations(d)
 
 
+def _unify(x: str) -> str:
+    for pattern, to in cleaning.UNIFIED:
+        x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+    return x
+
+
+_MARKERS = {name: f"len(regexp_extract_all({_D}, '{pattern}'))" for name, pattern in cleaning.DIALECTS}
+
+
+@query("t23_dialects", "documents", sql=f"""SELECT doc_id, array_to_string(list_filter([{', '.join(f"CASE WHEN {c} > 0 THEN '{n}' END" for n, c in _MARKERS.items())}], lambda x: x IS NOT NULL), ',') AS dialects, {' + '.join(_MARKERS.values())} AS n_markers,
+CASE WHEN {' + '.join(_MARKERS.values())} > 0 THEN {_unify(_D)} || '<|end|>' ELSE {_D} END AS unified FROM documents""")
+def dialects(d: DataFrame) -> DataFrame:
+    return cleaning.unified_dialects(d)
+
+
 @query("t24_subwords", "documents", sql=f"""SELECT doc_id, sum(CASE WHEN regexp_matches(w, '^[A-Za-z]+$') AND length(w) > 4 THEN ceil(length(w) / 4.0) WHEN regexp_matches(w, '^[\\x{{900}}-\\x{{97f}}]+$') AND length(w) > 3 THEN 2 ELSE 1 END)::BIGINT AS n_subwords, count(*) AS n_words
 FROM (SELECT doc_id, unnest({_words(_D)}) AS w FROM documents) GROUP BY doc_id""")
 def subwords(d: DataFrame) -> DataFrame:
@@ -326,6 +358,26 @@ def stage_funnel(d: DataFrame) -> DataFrame:
     return cleaning.funnel(d)
 
 
+@query("plan_cleaned", "run_pipeline", "benchmark")
+def cleaned(d: DataFrame, b: DataFrame) -> DataFrame:
+    """The corpus that the whole cleaning run leaves."""
+    return clean(d, b)[0]
+
+
+@query("plan_cleaning_report", "run_pipeline", "benchmark")
+def cleaning_report(d: DataFrame, b: DataFrame) -> DataFrame:
+    """Documents and words left by each stage of the cleaning run."""
+    return clean(d, b)[1]
+
+
+@query("a03_total_reduction", "run_pipeline", "benchmark")
+def total_reduction(d: DataFrame, b: DataFrame) -> DataFrame:
+    """How much of the words the cleaning run takes away, in hundredths of a percent."""
+    left = F.max(F.when(F.col("stage") == "decontaminate", F.col("tokens")))
+    had = F.max(F.when(F.col("stage") == "normalize", F.col("tokens")))
+    return clean(d, b)[1].agg(had.alias("before"), left.alias("after"), F.floor(10_000 * (had - left) / F.greatest(had, F.lit(1))).alias("reduced_10k"))
+
+
 @query("a02_fertility", "documents", sql=f"SELECT lang, sum(len({_tokens(_D)}))::BIGINT AS tokens, sum(len({_words(_D)}))::BIGINT AS words FROM documents GROUP BY lang")
 def fertility(d: DataFrame) -> DataFrame:
     return d.groupBy("lang").agg(F.sum(F.size(T.tokens(_text()))).alias("tokens"), F.sum(T.n_words(_text())).alias("words"))
@@ -404,13 +456,13 @@ def pair_counts(d: DataFrame) -> DataFrame:
 
 @query("k03_bpe_train", "documents")
 def bpe_train(d: DataFrame) -> DataFrame:
-    model = vocabulary.train(vocabulary.unit_counts(d.withColumn("lang", F.lower("lang")).where("lang in ('en', 'hi', 'te', 'kn')")), merges=200)
+    model = vocabulary.train(vocabulary.unit_counts(d.withColumn("lang", F.coalesce(F.lower(F.trim("lang")), F.lit("none")))), merges=200)
     return d.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(model.merges)], "rank int, a string, b string")
 
 
 @query("k06_bpe_encode", "documents")
 def bpe_encode(d: DataFrame) -> DataFrame:
-    model = vocabulary.train(vocabulary.unit_counts(d.withColumn("lang", F.lower("lang")).where("lang in ('en', 'hi', 'te', 'kn')")), merges=200)
+    model = vocabulary.train(vocabulary.unit_counts(d.withColumn("lang", F.coalesce(F.lower(F.trim("lang")), F.lit("none")))), merges=200)
     return vocabulary.bpe_encoded(d, model, "doc_id")
 
 

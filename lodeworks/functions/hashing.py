@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
 import random
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
 from lodeworks.functions.text import let
 
@@ -32,13 +29,6 @@ def long_hash(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def blake_hashes(grams: pd.Series) -> pd.Series:
-    """32-bit blake2b hashes modulo the prime (Arrow batches)."""
-    one = lambda g: int.from_bytes(hashlib.blake2b(g.encode(), digest_size=4).digest(), "big") % PRIME
-    return grams.map(lambda gs: [one(g) for g in gs], na_action="ignore")
-
-
 def signature(hashes: Column, pairs: list[tuple[int, int]] | None = None) -> Column:
     """MinHash values of a set of hashes; of an empty set, the prime throughout."""
     table = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in (pairs or coefficients())))

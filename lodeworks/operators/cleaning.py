@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import html
 import random
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,6 +28,28 @@ def normalize_stats(d: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def fully_normal(d: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id``, ``raw``, ``normal`` and ``ops``: all five steps, the two that need Python in one pass of Arrow batches.
+
+    Entities are resolved and characters composed first, then noise and control characters
+    go, then white space is collapsed; ``ops`` names the steps that changed something. A
+    null text counts as empty.
+    """
+    kind = d.schema[id].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [t or "" for t in batch.column(1).to_pylist()]
+            plain = [html.unescape(t) if "&" in t else t for t in raw]
+            made = [t if t.isascii() else unicodedata.normalize("NFC", t) for t in plain]
+            said = [[n for n, c in (("html_unescape", a != b), ("nfc", b != c)) if c] for a, b, c in zip(raw, plain, made, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.string()), pa.array(made, pa.string()), pa.array(said, pa.list_(pa.string()))], names=["id", "raw", "made", "said"])
+
+    rows = d.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"id {kind}, raw string, made string, said array<string>")
+    normal, ops = T.normalized(F.col("made"))
+    return rows.select(F.col("id").alias(id), "raw", normal.alias("normal"), F.concat("said", ops).alias("ops"))
+
+
 def top_bigram(d: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document of two characters or more: count of the commonest character bigram, and of all."""
     raw = T.text_of(text)
@@ -49,6 +73,29 @@ def conversations(d: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
     return turns(d, id, text).groupBy(id).agg(F.concat(F.array_join(listed, ""), F.lit("<|end|>")).alias("rendered"), F.count(F.lit(1)).alias("n_turns"))
 
 
+# The markers of four ways to write a conversation, and what each becomes.
+DIALECTS = (("bracket", r"\[(?:USER|ASSISTANT|SYSTEM)\]"), ("tag", r"</?(?:USER|ASSISTANT|SYSTEM)>"), ("instruction", r"### (?:Instruction|Response):"), ("header", r"### (?:Topic|Question):"))
+UNIFIED = (
+    (r"</(?:USER|ASSISTANT|SYSTEM)>", ""), (r"\[USER\]|<USER>|### Instruction:|### Question:", "<|user|>"), (r"\[ASSISTANT\]|<ASSISTANT>|### Response:", "<|assistant|>"),
+    (r"\[SYSTEM\]|<SYSTEM>", "<|system|>"), (r"### Topic:", "<|system|>Topic:"),
+)
+
+
+def unified_dialects(d: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id``, ``dialects`` (those whose markers a text has), ``n_markers``, ``unified``: one marker per role and an end mark.
+
+    A text without markers stays as it is.
+    """
+    raw = T.text_of(text)
+    counts = {name: F.regexp_count(raw, F.lit(pattern)) for name, pattern in DIALECTS}
+    found = F.array_compact(F.array(*(F.when(c > 0, F.lit(name)) for name, c in counts.items())))
+    total = sum(counts.values(), F.lit(0))
+    made = raw
+    for pattern, to in UNIFIED:
+        made = F.regexp_replace(made, pattern, to.replace("$", "\\$"))
+    return d.select(id, F.array_join(found, ",").alias("dialects"), total.cast("long").alias("n_markers"), F.when(total > 0, F.concat(made, F.lit("<|end|>"))).otherwise(raw).alias("unified"))
+
+
 def windows(d: DataFrame, id: str = "doc_id", text: str = "text", size: int = 800) -> DataFrame:
     """Windows of at most ``size`` characters, cut at the last blank: ``window``, ``start``, ``piece``."""
     kind = d.schema[id].dataType.simpleString()

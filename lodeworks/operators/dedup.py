@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,8 +16,6 @@ from lodeworks.runtime import Stage
 
 #: Fingerprints up to which the evaluation side goes to every worker.
 MAX_BROADCAST = 5_000_000
-#: Documents of one band bucket up to which the SQL of j01 and h04 forms its pairs; the operators form all.
-CROWD = 64
 
 
 def beside(df: DataFrame, few: DataFrame, key: str, how: str, most: int = MAX_BROADCAST) -> DataFrame:
@@ -22,14 +25,26 @@ def beside(df: DataFrame, few: DataFrame, key: str, how: str, most: int = MAX_BR
 
 def fingerprints(d: DataFrame, id: str, n: int, text: str = "text") -> DataFrame:
     """``id`` and ``fp``: distinct fingerprints of the runs of n words of the canonical text."""
-    grams = T.grams(T.words(T.canonical(T.text_of(text))), n)
-    return d.select(id, F.explode(F.array_distinct(F.transform(grams, H.long_hash))).alias("fp"))
+    return d.select(id, F.explode(T.gram_hashes(T.words(T.canonical(T.text_of(text))), n)).alias("fp"))
 
 
 def overlap(d: DataFrame, items: DataFrame, n: int, id: str = "doc_id") -> DataFrame:
-    """``id``, ``matched`` and ``total``: distinct fingerprints shared with any item, and all."""
+    """``id``, ``matched`` and ``total``: distinct fingerprints shared with any item, and all.
+
+    Fingerprints are counted per text before anything is shuffled. A record delivered again
+    with the same text counts once; one that has several texts is worked out from the
+    distinct fingerprints of all of them.
+    """
     known = fingerprints(items, "item_id", n).select("fp").distinct().withColumn("hit", F.lit(1))
-    return beside(fingerprints(d, id, n).distinct(), known, "fp", "left").groupBy(id).agg(F.count("hit").alias("matched"), F.count(F.lit(1)).alias("total"))
+    rows = d.select(id, F.xxhash64("text").alias("_text"), T.gram_hashes(T.words(T.canonical(T.text_of("text"))), n).alias("_all"))
+    spread = rows.select(id, "_text", F.size("_all").alias("_size"), F.posexplode("_all").alias("_at", "fp"))
+    per = beside(spread, known, "fp", "left").groupBy(id, "_text").agg(F.count("hit").alias("hits"), F.count_if(F.col("_at") == 0).alias("times"), F.max("_size").alias("total"))
+    per = Stage(d.sparkSession, "overlap").keep(per.select(id, (F.col("hits") / F.col("times")).cast("long").alias("matched"), F.col("total").cast("long").alias("total")), "per")
+    several = per.groupBy(id).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(id)
+    if several.isEmpty():
+        return per
+    others = beside(fingerprints(d.join(several, id, "left_semi"), id, n).distinct(), known, "fp", "left")
+    return per.join(several, id, "left_anti").union(others.groupBy(id).agg(F.count("hit").alias("matched"), F.count(F.lit(1)).alias("total")))
 
 
 def contaminated(d: DataFrame, items: DataFrame, n: int, id: str = "doc_id") -> DataFrame:
@@ -43,16 +58,65 @@ def shingle_hashes(d: DataFrame, id: str, k: int = 5, text: str = "text") -> Dat
     return d.select(id, F.array_distinct(F.transform(T.grams(T.words(T.text_of(text)), k), H.short_hash)).alias("hashes"))
 
 
+def exact_hashes(d: DataFrame, id: str, k: int = 5, text: str = "text") -> DataFrame:
+    """``id`` and ``hashes``, sorted: 32-bit blake2b of each distinct run of k words modulo the prime, in Arrow batches."""
+    kind = d.schema[id].dataType.simpleString()
+
+    def of(text: str | None) -> list[int]:
+        words = (text or "").split()
+        grams = {" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+        return sorted(int.from_bytes(hashlib.blake2b(g.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "big") % H.PRIME for g in grams)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([of(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=["id", "hashes"])
+
+    return d.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"id {kind}, hashes array<long>").withColumnRenamed("id", id)
+
+
+def shingle_sets(d: DataFrame, id: str, k: int = 5, text: str = "text") -> DataFrame:
+    """``id`` and ``hashes``, the sorted distinct 64-bit hashes of the runs of k words, of texts that have any."""
+    return d.select(id, F.sort_array(T.gram_hashes(T.words(T.text_of(text)), k)).alias("hashes")).where(F.size("hashes") > 0)
+
+
+def signed(d: DataFrame, id: str, k: int = 5, text: str = "text") -> DataFrame:
+    """``id`` and ``sig``: the MinHash signature over the hashes of ``shingle_hashes``, in Arrow batches.
+
+    A text without words has the prime throughout, as ``hashing.signature`` gives it.
+    """
+    kind = d.schema[id].dataType.simpleString()
+    a, b = (np.array(x, np.int64)[:, None] for x in zip(*H.coefficients(), strict=True))
+
+    def of(text: str | None) -> np.ndarray:
+        words = (text or "").split()
+        if not words:
+            return np.full(len(a), H.PRIME, np.int64)
+        grams = {" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+        h = np.fromiter((int.from_bytes(hashlib.md5(g.encode("utf-8", "surrogatepass")).digest()[:4], "big") for g in grams), np.int64, len(grams)) % H.PRIME
+        best = np.full((len(a), 1), H.PRIME, np.int64)
+        for at in range(0, len(h), 256):  # a block stays in the processor's cache
+            best = np.minimum(best, ((a * h[at : at + 256] + b) % H.PRIME).min(axis=1, keepdims=True))
+        return best.ravel()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs = [of(t) for t in batch.column(1).to_pylist()]
+            ends = pa.array(np.arange(len(sigs) + 1, dtype=np.int32) * len(a))
+            flat = pa.array(np.concatenate(sigs) if sigs else np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, flat)], names=["id", "sig"])
+
+    return d.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"id {kind}, sig array<long>").withColumnRenamed("id", id)
+
+
 def banded(d: DataFrame, id: str, bands: int = H.BANDS) -> DataFrame:
     """``id``, ``sig``, ``band``, ``key``: one row per band of the MinHash signature."""
-    sigs = shingle_hashes(d, id).select(id, H.signature(F.col("hashes")).alias("sig"))
-    return sigs.select(id, "sig", F.posexplode(H.band_keys(F.col("sig"), bands)).alias("band", "key"))
+    return signed(d, id).select(id, "sig", F.posexplode(H.band_keys(F.col("sig"), bands)).alias("band", "key"))
 
 
 def signature_classes(d: DataFrame, id: str) -> tuple[DataFrame, DataFrame]:
     """``id`` and ``rep`` of every document, and ``rep``, ``n`` and ``sig`` of every class of equal signatures, named by its least id."""
     stage = Stage(d.sparkSession, "classes")
-    sigs = stage.keep(shingle_hashes(d, id).select(id, H.signature(F.col("hashes")).alias("sig")), "sigs")
+    sigs = stage.keep(signed(d, id), "sigs")
     of = sigs.select(id, F.md5(F.array_join(F.transform("sig", lambda v: v.cast("string")), ",")).alias("of"))
     sizes = of.groupBy("of").agg(F.min(id).alias("rep"), F.count(F.lit(1)).alias("n"))
     members = stage.keep(of.join(sizes, "of").select(id, "rep", "n"), "members")
@@ -129,27 +193,34 @@ def jaccard_pairs(d: DataFrame, id: str, k: int = 5, threshold: float = 0.8) ->
     """``a``, ``b``, ``common``, ``total`` of all pairs of distinct texts that reach the threshold, exactly.
 
     Texts with equal sets form one class, named by its least id; classes are compared by
-    prefix filtering: sets that reach the threshold share one of their rarest shingles.
+    prefix filtering: sets that reach the threshold share one of their rarest shingles, and
+    enough is left of both from there on. A join partition that one shingle fills is split
+    by adaptive execution.
     """
-    sets = shingle_hashes(d, id, k).where(F.size("hashes") > 0).select(id, F.array_sort("hashes").alias("hashes"))
-    reps = sets.groupBy("hashes").agg(F.min(id).alias("rep")).select("rep", "hashes")
+    stage = Stage(d.sparkSession, "jaccard")
+    reps = stage.keep(shingle_sets(d, id, k).groupBy("hashes").agg(F.min(id).alias("rep")).select("rep", "hashes"), "reps")
     rows = reps.select("rep", F.explode("hashes").alias("h"))
     often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    ordered = rows.join(often, "h", "left").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "h"))).alias("all"))
-    size = F.size("all")
-    first = ordered.select("rep", size.alias("size"), F.explode(F.slice("all", 1, (size - F.ceil(size * threshold) + 1).cast("int"))).alias("at")).where("at.n > 1")
-    left = first.select(F.col("rep").alias("a"), F.col("size").alias("sa"), F.col("at.h").alias("h"))
-    right = first.select(F.col("rep").alias("b"), F.col("size").alias("sb"), F.col("at.h").alias("h"))
-    pairs = left.join(right, "h").where("a < b").where((F.col("sa") >= F.col("sb") * threshold) & (F.col("sb") >= F.col("sa") * threshold)).select("a", "b").distinct()
+    # A run that one set alone has cannot be shared: only the others are put in order, after as many places as those take.
+    ordered = rows.join(often, "h").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("shared"))
+    sized = ordered.join(reps.select("rep", F.size("hashes").alias("size")), "rep")
+    size, alone = F.col("size"), F.col("size") - F.size("shared")
+    prefix = size - F.ceil(size * threshold - 1e-9) + 1 - alone
+    first = sized.where(prefix > 0).select("rep", "size", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), prefix.cast("int"))).alias("at", "run")).select("rep", "size", (F.col("size") - F.col("alone") - F.col("at")).alias("left"), F.col("run.h").alias("h"))
+    left = first.toDF("a", "sa", "la", "h")
+    right = first.toDF("b", "sb", "lb", "h")
+    need = (F.col("sa") + F.col("sb")) * (threshold / (1 + threshold)) - 1e-6  # common runs that the threshold takes
+    near = (F.col("sa") >= F.col("sb") * threshold) & (F.col("sb") >= F.col("sa") * threshold) & (F.least("la", "lb") >= need)
+    pairs = stage.keep(left.join(right, "h").where("a < b").where(near).select("a", "b").distinct(), "pairs")
     both = pairs.join(reps.toDF("a", "ha"), "a").join(reps.toDF("b", "hb"), "b")
     common = F.size(F.array_intersect("ha", "hb"))
-    counted = both.select("a", "b", common.alias("common"), (F.size("ha") + F.size("hb") - common).alias("total"))
-    return counted.where(F.col("common") >= threshold * F.col("total") - 1e-9)
+    counted = both.select("a", "b", common.alias("common"), (F.size("ha") + F.size("hb")).alias("sum"))
+    return counted.select("a", "b", "common", (F.col("sum") - F.col("common")).alias("total")).where(F.col("common") >= threshold * F.col("total") - 1e-9)
 
 
 def classes(d: DataFrame, id: str, k: int = 5) -> DataFrame:
     """``id`` and ``rep``, the least id with the same set of shingles."""
-    sets = shingle_hashes(d, id, k).where(F.size("hashes") > 0).select(id, F.array_sort("hashes").alias("hashes"))
+    sets = shingle_sets(d, id, k)
     return sets.join(sets.groupBy("hashes").agg(F.min(id).alias("rep")), "hashes").select(id, "rep")
 
 

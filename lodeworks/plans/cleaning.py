@@ -7,21 +7,21 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions import text as T
 from lodeworks.operators import dedup, masking
+from lodeworks.operators.cleaning import fully_normal
 from lodeworks.runtime import Stage
 
 
 def clean(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = 0.8, span: int = 13, canary: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The cleaned corpus (``id``, ``text``) and a report (``stage``, ``docs``, ``tokens``) of what each stage left.
 
-    Texts are normalised, kept if English and of good quality, freed of later near copies
+    Texts are normalised in all five steps, kept if English and of good quality, freed of later near copies
     (first seen by id stays), masked, and dropped if they share ``span`` words with an
     item or hold the canary. Near copies are compared before masking, items after it.
     Null texts are taken as empty and fall to the quality stage; each id counts once.
     """
     stage = Stage(docs.sparkSession, "clean")
     raw = docs.groupBy(id).agg(F.max(T.text_of(text)).alias("text"))
-    made, _ = T.normalized(F.col("text"))
-    normal = stage.keep(raw.select(id, made.alias("text")), "normal")
+    normal = stage.keep(fully_normal(raw, id).select(id, F.col("normal").alias("text")), "normal")
     good = stage.keep(normal.where(T.is_english(F.col("text")) & (F.size(T.quality_reasons(F.col("text"))) == 0)), "good")
     copies = dedup.classes(good, id).where(F.col(id) != F.col("rep")).select(id)
     later = dedup.greedy(dedup.jaccard_pairs(good, id, threshold=threshold).select("a", "b")).select(F.col("node").alias(id))

@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeworks.operators.cleaning import budget_prefix
+from lodeworks.operators.cleaning import budget_prefix, running
 
 LEDGER = "event string, ledger_offset long, run_branch_id string, global_step long, checkpoint_id string, shard_ids array<string>, token_span_ids array<string>, seq_len int, loss_mask_hash string"
 
@@ -44,42 +44,55 @@ def within_budget(docs: DataFrame, order: str, tokens: str, budget: int) -> Data
 
 
 class VersionedLedger:
-    """A ledger in numbered folders with a pointer file: rollback writes a new version, readers see whole ones."""
+    """A ledger in numbered folders on any store that Hadoop reaches: rollback writes a new version, readers see whole ones.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, Path(path)
-        self.path.mkdir(parents=True, exist_ok=True)
+    A version counts once its writer has put its success mark, so a rollback that is broken
+    off leaves the version before it in force.
+    """
 
-    def _version(self) -> int:
-        at = self.path / "CURRENT"
-        return int(at.read_text()) if at.exists() else 0
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.jvm = spark.sparkContext._jvm
+        self.root = self.jvm.org.apache.hadoop.fs.Path(self.path)
+        self.files = self.root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.files.mkdirs(self.root)
+
+    def _version(self) -> int | None:
+        """The last version that was written to its end, None before the first."""
+        names = [f.getPath().getName() for f in self.files.listStatus(self.root)]
+        whole = [n for n in names if n.startswith("v") and n[1:].isdigit() and self.files.exists(self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
+        return max((int(n[1:]) for n in whole), default=None)
 
     def read(self) -> DataFrame:
-        at = self.path / f"v{self._version()}"
-        return self.spark.read.schema(LEDGER).json(str(at)) if at.exists() else self.spark.createDataFrame([], LEDGER)
+        at = self._version()
+        return self.spark.createDataFrame([], LEDGER) if at is None else self.spark.read.schema(LEDGER).json(f"{self.path}/v{at}")
 
     def append(self, events: DataFrame) -> None:
-        append_events(events, str(self.path / f"v{self._version()}"))
+        append_events(events, f"{self.path}/v{self._version() or 0}")
 
     def truncate_after(self, offset: int) -> int:
         """Keep events up to ``offset`` and those without one; returns how many were dropped."""
         now = self.read()
-        kept = now.where(F.coalesce("ledger_offset", F.lit(-1)) <= offset)
-        version = self._version() + 1
-        kept.write.mode("overwrite").json(str(self.path / f"v{version}"))
-        dropped = now.count() - self.spark.read.schema(LEDGER).json(str(self.path / f"v{version}")).count()
-        fresh = self.path / "CURRENT.new"
-        fresh.write_text(str(version))
-        fresh.replace(self.path / "CURRENT")
-        return dropped
+        n = now.count()
+        version = (self._version() or 0) + 1
+        now.where(F.coalesce("ledger_offset", F.lit(-1)) <= offset).write.mode("overwrite").json(f"{self.path}/v{version}")
+        return n - self.read().count()
 
 
 def append_checkpoints(index: DataFrame | None, fresh: DataFrame) -> DataFrame:
-    """Checkpoints with an ``index_position`` that goes on from the index's last, in order of their offsets."""
+    """Checkpoints with an ``index_position`` of their own each, going on from the index's last, by offset and then branch."""
     last = index.agg(F.coalesce(F.max("index_position"), F.lit(-1)).alias("m")) if index is not None else fresh.sparkSession.range(1).select(F.lit(-1).cast("long").alias("m"))
-    numbered = fresh.withColumn("n", F.row_number().over(Window.partitionBy("run_branch_id").orderBy("ledger_offset")))
-    added = numbered.join(F.broadcast(last)).withColumn("index_position", F.col("m") + F.col("n")).drop("m", "n")
-    return added if index is None else index.unionByName(added)
+    per = fresh.groupBy("ledger_offset").agg(F.count(F.lit(1)).alias("k"))
+    starts = running(per, "ledger_offset", "k").select("ledger_offset", "before")
+    inside = F.row_number().over(Window.partitionBy("ledger_offset").orderBy("run_branch_id", "checkpoint_id"))
+    numbered = fresh.withColumn("n", inside).join(starts, "ledger_offset")
+    added = numbered.join(F.broadcast(last)).withColumn("index_position", F.col("m") + F.col("before") + F.col("n")).drop("m", "n", "before")
+    return added.select(*fresh.columns, "index_position") if index is None else index.unionByName(added.select(*fresh.columns, "index_position"))
+
+
+def write_corpus(docs: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
+    """A corpus as Parquet, in folders by the columns named."""
+    docs.write.mode("overwrite").partitionBy(*by).parquet(path) if by else docs.write.mode("overwrite").parquet(path)
 
 
 def fill_template(template: str, data: dict, mark: str = "__DATA__") -> str:
