@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from math import gcd
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from lodeworks.catalog.texts import _D, _words
 from lodeworks.functions import text as T
 from lodeworks.registry import query
+from lodeworks.runtime import Stage
 
 MODULI = (7, 11, 13, 17)
 
@@ -49,29 +51,60 @@ def cosine_neighbours(e: DataFrame) -> DataFrame:
 SELECT a AS vec_id, arg_max(b, c) AS nearest FROM s GROUP BY a""")
 def top_one(e: DataFrame) -> DataFrame:
     """Nearest other vector of every query vector (ids divisible by 100), against all vectors in blocks."""
-    asked = e.where(F.col("vec_id") % 100 == 0).select("vec_id", "embedding").collect()
-    ids = np.array([r["vec_id"] for r in asked], np.int64)
-    unit = np.array([r["embedding"] for r in asked], np.float64).reshape(len(asked), -1)
-    unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
-    sent = e.sparkSession.sparkContext.broadcast((ids, unit))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, m = sent.value
-        best, at = np.full(len(q), -2.0), np.full(len(q), -1, np.int64)
-        for batch in batches:
-            theirs = np.array(batch.column(0).to_pylist(), np.int64)
-            x = np.array(batch.column(1).to_pylist(), np.float64).reshape(len(theirs), -1)
-            if not len(theirs) or not len(q):
-                continue
-            c = m @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
-            c[q[:, None] == theirs[None, :]] = -2.0
-            k = c.argmax(axis=1)
-            better = c[np.arange(len(q)), k] > best
-            best[better], at[better] = c[np.arange(len(q)), k][better], theirs[k[better]]
-        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(at), pa.array(best)], names=["vec_id", "b", "c"])
-
-    found = e.select("vec_id", "embedding").mapInArrow(run, "vec_id long, b long, c double").where("b >= 0")
-    return found.groupBy("vec_id").agg(F.max_by("b", "c").alias("nearest"))
+    return nearest(e, e.where(F.col("vec_id") % 100 == 0))
+
+
+#: Bytes of the query vectors that go to every worker at a time.
+BLOCK_BYTES = 32_000_000
+
+
+def nearest(e: DataFrame, asked: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``vec_id`` and ``nearest`` of every asked vector; ties go to the least id.
+
+    The asked vectors stream through the driver and are worked off in blocks of bounded
+    bytes, each against all vectors; the best of each is written to the shared folder.
+    """
+    stage = Stage(e.sparkSession, "nearest")
+    parts: list[DataFrame] = []
+    held: list[tuple[int, list[float]]] = []
+
+    def close() -> None:
+        ids = np.array([i for i, _ in held], np.int64)
+        unit = np.array([v for _, v in held], np.float64).reshape(len(held), -1)
+        unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
+        sent = e.sparkSession.sparkContext.broadcast((ids, unit))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q, m = sent.value
+            best, at = np.full(len(q), -2.0), np.full(len(q), -1, np.int64)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                theirs = batch.column(0).to_numpy()
+                x = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(len(theirs), -1)
+                c = m @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
+                c[q[:, None] == theirs[None, :]] = -2.0
+                k = c.argmax(axis=1)
+                top = c[np.arange(len(q)), k]
+                better = top > best
+                best[better], at[better] = top[better], theirs[k[better]]
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(at), pa.array(best)], names=["vec_id", "b", "c"])
+
+        rows = e.where(F.col("embedding").isNotNull()).select("vec_id", "embedding").mapInArrow(run, "vec_id long, b long, c double").where("b >= 0")
+        parts.append(stage.keep(rows.groupBy("vec_id").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("nearest")), f"block{len(parts)}"))
+        sent.unpersist()
+
+    for r in asked.where(F.col("embedding").isNotNull()).select("vec_id", "embedding").toLocalIterator():
+        held.append((r[0], r[1]))
+        if len(held) * len(r[1]) * 8 >= block_bytes:
+            close()
+            held = []
+    if held:
+        close()
+    found = e.sparkSession.createDataFrame([], "vec_id long, nearest long")
+    for part in parts:
+        found = found.union(part)
+    return found
 
 
 @query("a15_spearman", "lineitem", sql="""WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS x, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS y FROM lineitem)
@@ -130,42 +163,150 @@ def byte_budget(d: DataFrame) -> DataFrame:
     return d.select("lang", F.explode(T.words(T.text_of("text"))).alias("w")).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.octet_length("w") <= 16).alias("fits"))
 
 
-@query("v18_zipf", "documents", sql=f"SELECT w AS word, count(*) AS n FROM (SELECT unnest({_words(_D)}) AS w FROM documents) GROUP BY w ORDER BY n DESC, word LIMIT 100")
-def zipf(d: DataFrame) -> DataFrame:
-    return d.select(F.explode(T.words(T.text_of("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(100)
+@query("v18_zipf", "documents", sql=f"WITH c AS (SELECT w AS word, count(*) AS n FROM (SELECT unnest({_words(_D)}) AS w FROM documents) GROUP BY w) SELECT word, n, rank, round(1000000 / pow(rank, 1.1))::BIGINT AS weight FROM (SELECT *, rank() OVER (ORDER BY n DESC) AS rank FROM c)")
+def zipf(d: DataFrame, exponent: float = 1.1) -> DataFrame:
+    """Every word with its count, its rank by count (ties share one) and the weight of that rank.
+
+    Ranks come from how many words have each count, a small table, so no task sorts the words.
+    """
+    words = d.select(F.explode(T.words(T.text_of("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    sizes = words.groupBy("n").agg(F.count(F.lit(1)).alias("k"))
+    before = F.sum("k").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
+    ranks = sizes.select("n", (F.coalesce(before, F.lit(0)) + 1).alias("rank"))
+    return words.join(ranks, "n").select("word", "n", "rank", F.round(1000000 / F.pow("rank", F.lit(exponent))).cast("long").alias("weight"))
+
+
+@query("v19_bigrams", "documents", sql=f"SELECT p.a AS a, p.b AS b, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(ws)), lambda i: {{'a': ws[i], 'b': ws[i + 1]}})) AS p FROM (SELECT {_words(_D)} AS ws FROM documents)) GROUP BY 1, 2")
+def bigrams(d: DataFrame) -> DataFrame:
+    """Neighbouring words and how often they stand together, from each text's own list of words."""
+    rows = d.select(T.words(T.text_of("text")).alias("w")).where(F.size("w") > 1)
+    n = F.size("w") - 1
+    pairs = rows.select(F.slice("w", F.lit(1), n).alias("a"), F.slice("w", F.lit(2), n).alias("b")).select(F.explode(F.arrays_zip("a", "b")).alias("p"))
+    return pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- byte codes ------------------------------------------------------------------------------------
+
+SCHEMES = ("trunc", "wrap", "ends", "squeeze", "squeeze_all")
+WIDTHS = (16, 32, 48, 64)
+
 
+def slots(length: int, width: int, scheme: str) -> list[int]:
+    """The slot of each byte of a word of this length, -1 for one that is dropped.
 
-@query("v19_bigrams", "benchmark", sql=f"SELECT a, b, count(*) AS n FROM (SELECT w AS a, lead(w) OVER (PARTITION BY item_id ORDER BY i) AS b FROM (SELECT item_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM (SELECT item_id, {_words(_D)} AS ws FROM benchmark))) WHERE b IS NOT NULL GROUP BY ALL")
-def bigrams(b: DataFrame) -> DataFrame:
-    rows = b.select("item_id", F.posexplode(T.words(T.text_of("text"))).alias("i", "a"))
-    nxt = rows.withColumn("b", F.lead("a").over(Window.partitionBy("item_id").orderBy("i")))
-    return nxt.where("b is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    ``trunc`` drops the tail, ``wrap`` starts again from the first slot, ``ends`` keeps head
+    and tail, ``squeeze`` shares slots in proportion; all leave words that fit as they are,
+    but for ``squeeze_all``.
+    """
+    if scheme == "squeeze_all" or scheme == "squeeze" and length > width:
+        return [i * width // length for i in range(length)]
+    if scheme == "wrap":
+        return [i % width for i in range(length)]
+    if scheme == "ends" and length > width:
+        half = width // 2
+        return [i if i < half else i - length + width if i >= length - (width - half) else -1 for i in range(length)]
+    return [i if i < width else -1 for i in range(length)]
 
 
-def grid_key(word: bytes, width: int) -> tuple:
-    """Sparse byte-by-slot counts of a word under the wrapping scheme, divided by their common divisor."""
+def grid(word: bytes, width: int, scheme: str = "wrap") -> dict[tuple[int, int], int]:
+    """How often each byte stands in each slot."""
     cells: dict[tuple[int, int], int] = {}
-    for i, b in enumerate(word):
-        cells[b, i % width] = cells.get((b, i % width), 0) + 1
-    k = 0
-    for n in cells.values():
-        k = gcd(k, n)
+    for b, s in zip(word, slots(len(word), width, scheme), strict=True):
+        if s >= 0:
+            cells[b, s] = cells.get((b, s), 0) + 1
+    return cells
+
+
+def grid_key(word: bytes, width: int, scheme: str = "wrap") -> tuple:
+    """The filled cells of a word's grid, their counts divided by their common divisor."""
+    cells = grid(word, width, scheme)
+    k = gcd(*cells.values()) if cells else 1
     return tuple(sorted((b, s, n // k) for (b, s), n in cells.items()))
 
 
-@query("v02_grid_collisions", "documents")
-def grid_collisions(d: DataFrame) -> DataFrame:
-    """Words whose wrapped byte grids are the same: ``width``, ``n``, ``n_collided``."""
+def dense_code(word: bytes, width: int, scheme: str) -> np.ndarray:
+    """The code of a word: its grid over the root of its bytes, brought to mean 0 and deviation 1."""
+    code = np.zeros(256 * width)
+    kept = sum(s >= 0 for s in slots(len(word), width, scheme))
+    for (b, s), n in grid(word, width, scheme).items():
+        code[b * width + s] = n / kept**0.5
+    return (code - code.mean()) / (code.std(ddof=1) + 1e-8)
+
+
+def decoded_code(code: np.ndarray, width: int) -> bytes:
+    """The strongest byte of each slot above the mean, up to the first empty slot."""
+    at = code.reshape(256, width)
+    filled = at.max(axis=0) > at.mean() + 1e-6
+    end = width if filled.all() else int(np.argmin(filled))
+    return bytes(at.argmax(axis=0)[:end].tolist())
+
+
+def read_back(word: bytes, width: int, scheme: str) -> bytes:
+    """What ``decoded_code`` makes of ``dense_code``, from the filled cells alone."""
+    best: dict[int, tuple[int, int]] = {}
+    for (b, s), n in grid(word, width, scheme).items():
+        if s not in best or (n, -b) > best[s]:
+            best[s] = (n, -b)
+    out: list[int] = []
+    while len(out) in best:
+        out.append(-best[len(out)][1])
+    return bytes(out)
+
+
+def _coded(d: DataFrame) -> DataFrame:
+    """Distinct words with, per width and scheme, the key of their code, the bytes dropped and whether it decodes exactly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_())
         for batch in batches:
-            ws = batch.column(0).to_pylist()
-            rows = [(w, r, repr(grid_key(w.encode(), r))) for w in ws for r in (4, 8, 16)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))], names=["word", "width", "key"])
-
-    keys = d.select(F.explode(T.words(T.text_of("text"))).alias("w")).distinct().mapInArrow(run, "word string, width int, key string")
-    sizes = keys.groupBy("width", F.md5("key").alias("k")).agg(F.count(F.lit(1)).alias("c"))
-    return sizes.groupBy("width").agg(F.sum("c").alias("n"), F.coalesce(F.sum(F.when(F.col("c") > 1, F.col("c"))), F.lit(0)).alias("n_collided"))
+            rows = []
+            for w in batch.column(0).to_pylist():
+                raw = w.encode("utf-8", "surrogatepass")
+                for r in WIDTHS:
+                    for scheme in SCHEMES:
+                        lost = sum(s < 0 for s in slots(len(raw), r, scheme))
+                        key = hashlib.blake2b(repr(grid_key(raw, r, scheme)).encode(), digest_size=8).digest()
+                        rows.append((w, r, scheme, int.from_bytes(key, "big", signed=True), lost, len(raw) <= r, read_back(raw, r, scheme) == raw))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], names=["word", "width", "scheme", "key", "lost", "fits", "exact"])
+
+    words = d.select(F.explode(T.words(T.text_of("text"))).alias("w")).distinct()
+    return words.mapInArrow(run, "word string, width int, scheme string, key long, lost int, fits boolean, exact boolean")
+
+
+@query("v04_survey", "documents")
+def code_survey(d: DataFrame) -> DataFrame:
+    """Per script, width and scheme: words, those whose code another word has, those cropped, and bytes lost."""
+    per = _coded(d).groupBy("width", "scheme", "key", T.script(F.col("word")).alias("script")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lost") > 0).alias("cropped"), F.sum("lost").alias("bytes_lost"))
+    per = Stage(d.sparkSession, "survey").keep(per, "per")
+    whole = per.groupBy("width", "scheme", "key").agg(F.sum("n").alias("all"))
+    rows = per.join(whole, ["width", "scheme", "key"])
+    shared = F.coalesce(F.sum(F.when(F.col("all") > 1, F.col("n"))), F.lit(0))
+    return rows.groupBy("width", "scheme", "script").agg(F.sum("n").alias("n"), shared.alias("collided"), F.sum("cropped").alias("cropped"), F.sum("bytes_lost").alias("bytes_lost"))
+
+
+@query("a16_exact_decode", "documents")
+def exact_decode(d: DataFrame) -> DataFrame:
+    """Words that decode to themselves, by width, scheme and whether they fit."""
+    return _coded(d).groupBy("width", "scheme", "fits").agg(F.count(F.lit(1)).alias("n"), F.count_if("exact").alias("n_exact"))
+
+
+_ROLE_SLOTS = {
+    "trunc": "CASE WHEN i < 8 THEN i ELSE -1 END", "wrap": "i % 8", "ends": "CASE WHEN l <= 8 OR i < 4 THEN i WHEN i >= l - 4 THEN i - l + 8 ELSE -1 END",
+    "squeeze": "CASE WHEN l <= 8 THEN i ELSE i * 8 // l END", "squeeze_all": "i * 8 // l",
+}
+_SLOTTED = " UNION ALL ".join(f"SELECT '{k}' AS scheme, ({v})::BIGINT AS slot FROM b" for k, v in _ROLE_SLOTS.items())
+
+
+@query("v01_role_slots", "documents", sql=f"WITH b AS (SELECT l, unnest(range(l)) AS i FROM (SELECT octet_length(encode(w)) AS l FROM (SELECT unnest({_words(_D)}) AS w FROM documents))), p AS ({_SLOTTED}) SELECT scheme, slot, count(*) AS n FROM p GROUP BY ALL")
+def role_slots(d: DataFrame) -> DataFrame:
+    """How many bytes of the corpus each of five schemes puts in each of eight slots; -1 for those it drops.
+
+    Positions depend on the length alone, so they are worked out once per length.
+    """
+    sizes = d.select(F.explode(T.words(T.text_of("text"))).alias("w")).groupBy(F.octet_length("w").cast("long").alias("l")).agg(F.count(F.lit(1)).alias("k"))
+    spots = sizes.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("l") - 1)))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("scheme"), F.expr(v.replace("//", "div")).cast("long").alias("slot")) for k, v in _ROLE_SLOTS.items()))).alias("p")
+    return spots.select("k", each).groupBy("p.scheme", "p.slot").agg(F.sum("k").alias("n"))
 
 
 def phasors(size: int, seed: int) -> np.ndarray:

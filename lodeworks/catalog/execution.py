@@ -330,15 +330,6 @@ def collisions_by_script(d: DataFrame) -> DataFrame:
     )
 
 
-@query("v01_role_slots", "documents", sql=f"""SELECT i % 8 AS wrapped, count(*) AS n, count(*) FILTER (WHERE i < 8) AS kept, count(*) FILTER (WHERE len > 8 AND i >= len - 4 OR i < 4) AS at_ends FROM
-(SELECT length(w) AS len, unnest(range(length(w))) AS i FROM (SELECT unnest({_words(_D)}) AS w FROM documents)) GROUP BY 1""")
-def role_slots(d: DataFrame) -> DataFrame:
-    """Positions of characters under three schemes: wrapped into 8 slots, cut after 8, or kept at both ends."""
-    spots = d.select(F.explode(T.words(T.text_of("text"))).alias("w")).select(F.length("w").alias("len"), F.explode(F.sequence(F.lit(0), F.length("w") - 1)).alias("i"))
-    ends = ((F.col("len") > 8) & (F.col("i") >= F.col("len") - 4)) | (F.col("i") < 4)
-    return spots.groupBy((F.col("i") % 8).cast("long").alias("wrapped")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("i") < 8).alias("kept"), F.count_if(ends).alias("at_ends"))
-
-
 @query("x02_profile_lookup", "ledger", "mixture", sql="SELECT e.curriculum_stage AS stage, e.mixture_lane AS lane, max(m.share_pct) AS share_pct, count(*) AS n FROM ledger e LEFT JOIN mixture m ON m.stage = e.curriculum_stage AND m.lane = e.mixture_lane GROUP BY ALL")
 def profile_lookup(e: DataFrame, m: DataFrame) -> DataFrame:
     counts = e.groupBy(F.col("curriculum_stage").alias("stage"), F.col("mixture_lane").alias("lane")).agg(F.count(F.lit(1)).alias("n"))
