@@ -181,16 +181,6 @@ def grams(found: Column, k: int) -> Column:
     return let(found, runs)
 
 
-def gram_hashes(found: Column, k: int) -> Column:
-    """Distinct 64-bit hashes of the runs of k words, hashed word by word; the runs are those of ``grams``."""
-    def runs(w: Column) -> Column:
-        n = F.size(w)
-        made = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, k)))
-        return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(made))
-
-    return let(found, runs)
-
-
 def tokens(text: Column) -> Column:
     """Words and single signs of the lower-cased text."""
     return matches(F.lower(text), rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{WS}]")

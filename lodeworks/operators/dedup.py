@@ -23,9 +23,53 @@ def beside(df: DataFrame, few: DataFrame, key: str, how: str, most: int = MAX_BR
     return df.join(F.broadcast(few) if few.count() <= most else few, key, how)
 
 
+class _Numbers(dict):
+    """64-bit numbers of words, made when first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        made = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return made
+
+
+def gram_sets(d: DataFrame, id: str, n: int, text: str = "text", lower: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id``, the columns of ``keep``, and ``hashes``: sorted distinct 64-bit hashes of the runs of n words.
+
+    A shorter text is one run, one without words none. In Arrow batches: words are numbered
+    once per worker and runs are hashed by the array, many times faster than by expressions.
+    """
+    kinds = ", ".join(f"{c} {d.schema[c].dataType.simpleString()}" for c in (id, *keep))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Numbers()
+        for batch in batches:
+            sets = []
+            for t in batch.column(len(batch.columns) - 1).to_pylist():
+                words = ((t or "").lower() if lower else t or "").split()
+                if len(known) > 500_000:
+                    known.clear()
+                h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+                size = min(n, len(h))
+                made = np.zeros(len(h) - size + 1 if len(h) else 0, np.uint64)
+                with np.errstate(over="ignore"):
+                    for i in range(size):
+                        made ^= h[i : i + len(made)]
+                        made *= np.uint64(0x9E3779B97F4A7C15)
+                        made ^= made >> np.uint64(29)
+                made = made.view(np.int64)
+                made.sort()
+                first = np.ones(len(made), bool)
+                np.not_equal(made[1:], made[:-1], out=first[1:])
+                sets.append(made[first])
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            flat = pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), flat)], names=[id, *keep, "hashes"])
+
+    return d.select(id, *keep, F.col(text).cast("string").alias("_said")).mapInArrow(run, f"{kinds}, hashes array<long>")
+
+
 def fingerprints(d: DataFrame, id: str, n: int, text: str = "text") -> DataFrame:
     """``id`` and ``fp``: distinct fingerprints of the runs of n words of the canonical text."""
-    return d.select(id, F.explode(T.gram_hashes(T.words(T.canonical(T.text_of(text))), n)).alias("fp"))
+    return gram_sets(d, id, n, text, lower=True).select(id, F.explode("hashes").alias("fp"))
 
 
 def overlap(d: DataFrame, items: DataFrame, n: int, id: str = "doc_id") -> DataFrame:
@@ -36,8 +80,8 @@ def overlap(d: DataFrame, items: DataFrame, n: int, id: str = "doc_id") -> DataF
     distinct fingerprints of all of them.
     """
     known = fingerprints(items, "item_id", n).select("fp").distinct().withColumn("hit", F.lit(1))
-    rows = d.select(id, F.xxhash64("text").alias("_text"), T.gram_hashes(T.words(T.canonical(T.text_of("text"))), n).alias("_all"))
-    spread = rows.select(id, "_text", F.size("_all").alias("_size"), F.posexplode("_all").alias("_at", "fp"))
+    rows = gram_sets(d.select(id, "text", F.xxhash64("text").alias("_text")), id, n, lower=True, keep=("_text",))
+    spread = rows.select(id, "_text", F.size("hashes").alias("_size"), F.posexplode("hashes").alias("_at", "fp"))
     per = beside(spread, known, "fp", "left").groupBy(id, "_text").agg(F.count("hit").alias("hits"), F.count_if(F.col("_at") == 0).alias("times"), F.max("_size").alias("total"))
     per = Stage(d.sparkSession, "overlap").keep(per.select(id, (F.col("hits") / F.col("times")).cast("long").alias("matched"), F.col("total").cast("long").alias("total")), "per")
     several = per.groupBy(id).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(id)
@@ -76,7 +120,7 @@ def exact_hashes(d: DataFrame, id: str, k: int = 5, text: str = "text") -> DataF
 
 def shingle_sets(d: DataFrame, id: str, k: int = 5, text: str = "text") -> DataFrame:
     """``id`` and ``hashes``, the sorted distinct 64-bit hashes of the runs of k words, of texts that have any."""
-    return d.select(id, F.sort_array(T.gram_hashes(T.words(T.text_of(text)), k)).alias("hashes")).where(F.size("hashes") > 0)
+    return gram_sets(d, id, k, text).where(F.size("hashes") > 0)
 
 
 def signed(d: DataFrame, id: str, k: int = 5, text: str = "text") -> DataFrame:
