@@ -109,11 +109,13 @@ def packed(df: DataFrame, policy: DataFrame, id: str = "doc_id", text: str = "te
     loose = pieces.where("rest > 0").select(
         "lane", "capacity", "id", "copy", F.col("whole").alias("piece"), (F.col("whole").cast("long") * F.col("capacity")).alias("start"), F.col("rest").alias("n_tokens"), "chunk"
     )
-    placed = stage.keep(loose.groupBy("lane", "chunk").applyInPandas(_place, _PLACED), "placed")
+    # As many partitions as groups, stated, so that small groups of much work are not run one after the other in one task.
+    groups = int(per_lane.agg(F.sum("chunks")).first()[0] or 1)
+    placed = stage.keep(loose.repartition(2 * groups, "lane", "chunk").groupBy("lane", "chunk").applyInPandas(_place, _PLACED), "placed")
     partly = placed.where("fill < capacity").drop("fill", "box", "chunk")
     left = partly.groupBy("lane").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).alias("groups")).withColumnRenamed("lane", "its")
     grouped = partly.join(left, F.col("lane").eqNullSafe(F.col("its"))).withColumn("chunk", F.pmod(F.xxhash64("id", "copy", F.lit("again")), F.col("groups"))).drop("its", "groups")
-    again = grouped.groupBy("lane", "chunk").applyInPandas(_again, _PLACED.replace(", fill long", ""))
+    again = grouped.repartition(2 * groups, "lane", "chunk").groupBy("lane", "chunk").applyInPandas(_again, _PLACED.replace(", fill long", ""))
     label = lambda round_: F.concat_ws("-", F.coalesce("lane", F.lit("(none)")), F.lit(round_), "chunk", "box").alias("container")
     kept = ["lane", "capacity", "id", "copy", "piece", "start", "n_tokens"]
     ended = placed.where("fill = capacity").select(*kept, label("a")).unionByName(again.select(*kept, label("b")))
