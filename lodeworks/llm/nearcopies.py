@@ -260,7 +260,7 @@ def _prefixes(df: DataFrame, threshold: float) -> DataFrame:
     size = F.size("all")
     first = ordered.select(
         "id", size.alias("size"),
-        F.posexplode(F.slice("all", 1, (size - F.ceil(size * F.lit(threshold)) + 1).cast("int"))).alias("place", "at"),
+        F.posexplode(F.slice("all", 1, (size - F.ceil(size * F.lit(threshold) - 1e-9) + 1).cast("int"))).alias("place", "at"),
     ).where("at.n > 1").select("id", "size", (F.col("size") - F.col("place")).alias("left"), F.col("at.run").alias("run"))
     other = first.select(F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("left").alias("left_b"), "run")
     need = (F.col("size") + F.col("size_b")) * (threshold / (1 + threshold)) - 1e-6
