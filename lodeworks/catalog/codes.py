@@ -309,6 +309,42 @@ def role_slots(d: DataFrame) -> DataFrame:
     return spots.select("k", each).groupBy("p.scheme", "p.slot").agg(F.sum("k").alias("n"))
 
 
+def orthonormal(rows: int, size: int, seed: int = 5) -> np.ndarray:
+    """A seeded random matrix of ``rows`` by ``size`` with orthonormal columns."""
+    q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(rows, size)))
+    return (q * np.sign(np.diag(r))).astype(np.float32)
+
+
+def recovered(words: list[bytes], width: int, basis: np.ndarray) -> list[bytes]:
+    """Words of known length read back from their codes after projection to the basis and back."""
+    cells = np.zeros((len(words), 256 * width), np.float32)
+    for i, w in enumerate(words):
+        for at, b in enumerate(w[:width]):
+            cells[i, b * width + at] = 1 / max(1, min(len(w), width)) ** 0.5
+    back = ((cells @ basis) @ basis.T).reshape(len(words), 256, width).argmax(axis=1)
+    return [bytes(row[: min(len(w), width)].tolist()) for w, row in zip(words, back, strict=True)]
+
+
+@query("v09_projection_recovery", "documents")
+def projection_recovery(d: DataFrame, width: int = 16, sizes: tuple[int, ...] = (64, 256, 1024)) -> DataFrame:
+    """How many of the words that fit come back exactly through random projections, by dimensions and length band."""
+    sent = d.sparkSession.sparkContext.broadcast({n: orthonormal(256 * width, n) for n in sizes})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bases = sent.value
+        for batch in batches:
+            words = [w.encode("utf-8", "surrogatepass") for w in batch.column(0).to_pylist()]
+            for at in range(0, len(words), 512):  # codes are dense: a few hundred at a time
+                part = words[at : at + 512]
+                for n, basis in bases.items():
+                    same = [a == b for a, b in zip(part, recovered(part, width, basis), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([n] * len(part), pa.int32()), pa.array(list(map(len, part)), pa.int32()), pa.array(same, pa.bool_())], names=["size", "length", "exact"])
+
+    words = d.select(F.explode(T.words(T.text_of("text"))).alias("w")).distinct().where(F.octet_length("w") <= width)
+    band = F.when(F.col("length") <= 4, "1-4").when(F.col("length") <= 8, "5-8").otherwise("9-16")
+    return words.mapInArrow(run, "size int, length int, exact boolean").groupBy("size", band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.count_if("exact").alias("n_exact"))
+
+
 def phasors(size: int, seed: int) -> np.ndarray:
     return np.exp(1j * np.random.default_rng(seed).uniform(-np.pi, np.pi, size))
 

@@ -305,6 +305,40 @@ def best_fit(d: DataFrame) -> DataFrame:
     return fitted(d, best=True).withColumn("n", F.col("n").cast("long"))
 
 
+def dispatched(d: DataFrame, policy: DataFrame, default: int = 1024, chunk: int = 1_000_000) -> DataFrame:
+    """``lane``, ``policy``, ``seq_len``, ``bins``, ``used``: each lane's documents packed by its own policy.
+
+    ``concat_and_chop`` lays documents with an end mark each end to end; ``best_fit`` and
+    ``greedy`` place whole documents; all else, and lanes without a policy, give each
+    document a window of its own. Documents above a window are cut, except when chopped.
+    """
+    rules = policy.where("seq_len > 0").groupBy("lane").agg(F.max_by("policy", "seq_len").alias("policy"), F.max("seq_len").alias("seq_len"))
+    rows = lengths(d).join(F.broadcast(rules), "lane", "left").fillna({"policy": "one_document", "seq_len": default})
+    keys = ["lane", "policy", "seq_len"]
+    n = F.least("n", F.col("seq_len")).cast("long")
+    chopped = rows.where("policy = 'concat_and_chop'").groupBy(*keys).agg(F.sum(F.col("n") + 1).alias("used")).select(*keys, F.ceil(F.col("used") / F.col("seq_len")).alias("bins"), "used")
+    fitting = rows.where("policy in ('best_fit', 'greedy')")
+
+    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        size, best = int(pdf["seq_len"].iloc[0]), pdf["policy"].iloc[0] == "best_fit"
+        pdf = pdf.sort_values(["n", "doc_id"], ascending=[False, True]) if best else pdf.sort_values("doc_id")
+        sizes = [min(int(x), size) for x in pdf["n"]]
+        bins = (best_fitting if best else first_fitting)(sizes, size)
+        return pd.DataFrame({"lane": [pdf["lane"].iloc[0]], "policy": [pdf["policy"].iloc[0]], "seq_len": [size], "bins": [max(bins) + 1], "used": [sum(sizes)]})
+
+    chunks = fitting.groupBy("lane").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).alias("chunks"))
+    cut = fitting.join(chunks, "lane").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks"))).drop("chunks")
+    placed = cut.groupBy("lane", "chunk").applyInPandas(place, "lane string, policy string, seq_len int, bins long, used long")
+    fitted_ = placed.groupBy(*keys).agg(F.sum("bins").alias("bins"), F.sum("used").alias("used"))
+    single = rows.where("policy not in ('concat_and_chop', 'best_fit', 'greedy')").groupBy(*keys).agg(F.count(F.lit(1)).alias("bins"), F.sum(n).alias("used"))
+    return chopped.unionByName(fitted_).unionByName(single)
+
+
+@query("b06_dispatch", "documents", "packing_policy")
+def dispatch(d: DataFrame, p: DataFrame) -> DataFrame:
+    return dispatched(d, p)
+
+
 @query("w06_position_reset", "documents", sql=f"SELECT lane, sum(n * (n - 1) // 2)::BIGINT AS position_sum, sum(n)::BIGINT AS n FROM (SELECT coalesce(lane, 'none') AS lane, least({_LEN}, {WINDOW_TOKENS}) AS n FROM documents WHERE {_LEN} > 0) GROUP BY lane")
 def position_reset(d: DataFrame) -> DataFrame:
     spots = lengths(d).select("lane", F.explode(F.sequence(F.lit(0), F.least("n", F.lit(WINDOW_TOKENS)) - 1)).alias("p"))

@@ -184,6 +184,14 @@ def test_fits_against_plain_loops(seed):
     assert execution.best_fitting(sizes, 100) == best
 
 
+def test_each_lane_is_packed_by_its_policy(spark):
+    rows = [(i, "w " * n, lane) for i, (n, lane) in enumerate([(6, "a"), (5, "a"), (4, "a"), (6, "b"), (5, "b"), (4, "b"), (25, "c"), (3, "c"), (2000, None), (0, "a")])]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lane string")
+    p = spark.createDataFrame([("a", "best_fit", 10), ("b", "concat_and_chop", 10), ("c", "long_context", 20)], "lane string, policy string, seq_len int")
+    got = {r["lane"]: (r["policy"], r["seq_len"], r["bins"], r["used"]) for r in execution.dispatched(d, p).collect()}
+    assert got == {"a": ("best_fit", 10, 2, 15), "b": ("concat_and_chop", 10, 2, 18), "c": ("long_context", 20, 2, 23), "none": ("one_document", 1024, 1, 1024)}
+
+
 def test_packing_policies():
     assert formulas.simulated([5, 6, 4], 10, "chop") == [[5], [6, 4]] and formulas.simulated([5, 6, 4], 10, "pad") == [[5], [6], [4]]
     assert formulas.simulated([5, 6, 5], 10, "greedy") == [[5, 5], [6]] and formulas.simulated([3, 7, 6], 10, "best") == [[7, 3], [6]]
@@ -214,6 +222,13 @@ def test_survey_counts_shared_codes(spark):
     assert got[16, "wrap"]["collided"] == 0 and got[32, "trunc"]["cropped"] == 0
 
 
+def test_projections_bring_words_back():
+    basis = codes.orthonormal(256 * 8, 512)
+    assert np.allclose(basis.T @ basis, np.eye(512), atol=1e-4)
+    words = [b"river", "नदी".encode()[:8], b"a", b""]
+    assert codes.recovered(words, 8, basis) == words and codes.recovered(words, 8, np.eye(2048, dtype=np.float32)) == words
+
+
 @pytest.mark.parametrize("block", [10**9, 300])
 def test_nearest_against_all(spark, block):
     gen = np.random.default_rng(1)
