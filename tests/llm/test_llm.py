@@ -2,6 +2,7 @@ import functools
 import random
 import re
 import unicodedata
+from collections import Counter
 from pathlib import Path
 
 import duckdb
@@ -335,6 +336,31 @@ def test_the_sample_is_bounded_in_characters(spark):
         assert [r["doc_id"] for r in residue.residue_ids(d, chars=chars, sample=10).collect()] == [99]
 
 
+def test_the_models_are_fitted_on_every_row(spark):
+    long = "harvest road " * 20_000
+    texts = [f"river {i % 89} council {i % 97}\tmarket" for i in range(4000)] + [long, "404 Not Found nginx/1.18.0"] * 2
+    at = lambda first, parts: spark.createDataFrame([(first + i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(parts)
+    ids = {r["doc_id"] for r in residue.residue_ids(at(0, 2)).collect()}
+    assert {i for i, t in enumerate(texts) if t[:3] == "404"} == ids
+    models = [residue.fitted(at(first, parts)) for first, parts in ((0, 3), (10**6, 1), (5 * 10**9, 7))]
+    for m in models[1:]:  # whatever ids and partitions are
+        assert np.array_equal(models[0].residue, m.residue) and np.array_equal(models[0].navigation, m.navigation)
+    counted = residue._summed(at(0, 5).select("text"), 2, lambda found: (found, [t for t in found if len(t) > 200_000]))
+    plain = Counter(c for t in texts for c in residue.Laid([t]).own().tolist())
+    assert {c: int(counted[0][c]) for c in counted[0].nonzero()[0].tolist()} == plain and counted[0].sum() == sum(map(len, texts))
+    assert counted[1].sum() == 2 * len(long)
+
+
+def test_texts_laid_together_are_judged_as_alone(spark):
+    texts = ["404 Not Found nginx/1.18.0 İstanbul", "", " \n\t ", "Lorem  ipsum\t dolor sit amet,\n\n  consectetur", "n", "404", "𠀀𠀁 Please enable JavaScript 𠀂 to view this page. ΟΔΟΣ", "Home | News | About\nThe council met at the bridge.", "Lorem ipsum dolor sit am"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = residue.fitted(d)
+    together = model.coverages(texts)
+    assert together.tolist() == [model.coverages([t])[0].tolist() for t in texts]
+    assert together[0][2] > 0.5 and together[6][2] > 0.5 and together[8][2] == 1 and not together[1:3].any() and not together[7].any()
+    assert {0, 3, 6, 8} <= {r["doc_id"] for r in residue.residue_ids(d).collect()}
+
+
 def test_no_training_phrase_is_in_the_test_tables():
     at = Path("/root/testdata/sf0.01/documents.parquet")
     if not at.exists():
